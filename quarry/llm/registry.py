@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, near_dedup, substring_dedup
+from . import bpe, chat, decontaminate, line_dedup, near_dedup, quality, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op2_chat_format": chat.query,
     "op4_order_minhash": near_dedup.query,
+    "op5_url_filter": url_filter.query,
     "op6_line_dedup": line_dedup.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_byte_bpe": bpe.query,
+    "op9_quality": quality.query,
+    "op10_toxicity": toxicity.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.SQL}
