@@ -21,6 +21,7 @@ import sys
 from array import array
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,24 +184,34 @@ def decode(rows: DataFrame, ranks: dict[bytes, int], *, ids: str = "ids", name:
     return rows.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, row: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each text: row, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass, keeping only digests."""
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, row: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """Of each text: row, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass, keeping only digests (and ids, if asked)."""
     coder = share(docs.sparkSession, Coder(ranks, pattern))
+    names = ["row", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + ids]
 
     def run(batches):
         own = opened(coder)
         memo, pieces = own.memo(), own.pieces()
-        for batch in batches:
-            out = [[], [], []]
-            for t in batch.column(1):
-                raw = own.encode(t.as_py() or "", memo)
-                back = b"".join([pieces[i] for i in _ids(raw)])
-                for column, x in zip(out, (len(raw) // 4, sha256(raw).hexdigest(), sha256(back).hexdigest()), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), *(pa.array(x, pa.string()) for x in out[1:])], names=["row", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch, out = whole.slice(start, 256), [[], [], []]
+                held = []
+                for t in batch.column(1):
+                    raw = own.encode(t.as_py() or "", memo)
+                    own_ids = _ids(raw)
+                    back = b"".join([pieces[i] for i in own_ids])
+                    for column, x in zip(out, (len(raw) // 4, sha256(raw).hexdigest(), sha256(back).hexdigest()), strict=True):
+                        column.append(x)
+                    if ids:
+                        held.append(pa.array(np.frombuffer(own_ids, np.uint32).astype(np.int32)))
+                columns = [batch.column(0), pa.array(out[0], pa.int64()), *(pa.array(x, pa.string()) for x in out[1:])]
+                if ids:
+                    ends = np.cumsum([0, *out[0]]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(held)))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[row].dataType.simpleString()
-    return docs.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(run, f"row {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("row", row)
+    return docs.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(run, f"row {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids).withColumnRenamed("row", row)
 
 
 # --- by higher-order functions
