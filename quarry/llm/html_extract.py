@@ -36,8 +36,8 @@ RAW = set("script style textarea iframe noscript template".split())
 _CLOSES_P = BLOCK - {"option"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WALL = {"ul", "ol", "table", "dl", "menu", "select"}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+# Possessive: a tag with an unclosed quote falls to the last alternative at once, and counts as unreadable
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|</?[a-zA-Z][^>]*+(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
@@ -78,8 +78,6 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
         at = m.end()
         tag = m[2]
         if tag is None:
-            if m[0].startswith("<![CDATA["):
-                pass
             continue
         tag = tag.lower()
         if m[1]:
