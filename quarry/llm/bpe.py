@@ -30,8 +30,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from .common import fresh, opened, share, table
 
 MAX_RANKS = 2_000_000
-#: Distinct words that a worker remembers, and the longest of them in bytes.
-MEMO, MEMO_BYTES = 400_000, 64
+#: Distinct words of one generation that a worker remembers, and the longest of them in characters.
+MEMO, MEMO_BYTES = 300_000, 64
 _NONE = 1 << 60
 
 
@@ -110,27 +110,33 @@ class Coder:
         self.ranks, self.pattern, self.key = state
         self.split = regex.compile(self.pattern)
 
-    def memo(self) -> dict[str, bytes]:
+    def memo(self) -> list[dict[str, bytes]]:
+        """Two generations of words: what both have not, was not met lately."""
         held = sys.__dict__.setdefault("_quarry_words", {})
         if self.key not in held:
             held.clear()
-            held[self.key] = {}
+            held[self.key] = [{}, {}]
         return held[self.key]
 
-    def encode(self, text: str, memo: dict[str, bytes]) -> bytes:
+    def encode(self, text: str, memo: list[dict[str, bytes]]) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         words = self.split.findall(text)
-        for word in {*words} - memo.keys():
-            ids = array("I", fold(word.encode(), self.ranks))
-            if sys.byteorder == "big":
-                ids.byteswap()
-            memo[word] = ids.tobytes()
-        out = b"".join([memo[w] for w in words])
-        if len(memo) > MEMO:
-            memo.clear()
-        elif words and max(map(len, words)) > MEMO_BYTES:
+        young, old = memo
+        for word in {*words}:
+            if word in young:
+                continue
+            if (known := old.get(word)) is None:
+                ids = array("I", fold(word.encode(), self.ranks))
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                known = ids.tobytes()
+            young[word] = known
+        out = b"".join([young[w] for w in words])
+        if words and len(max(words, key=len)) > MEMO_BYTES:
             for w in {w for w in words if len(w) > MEMO_BYTES}:
-                memo.pop(w, None)
+                young.pop(w, None)
+        if len(young) > MEMO:
+            memo[:] = [{}, young]
         return out
 
     def pieces(self) -> list[bytes]:
