@@ -97,7 +97,7 @@ def read_text(files: DataFrame) -> DataFrame:
     isn't UTF-8. Line ends stay as they are."""
     raw = F.col("content")
     bare = F.when(F.hex(F.substring(raw, 1, 3)) == "EFBBBF", F.substring(raw, 4, 1 << 30)).otherwise(raw)
-    nul = F.hex(F.substring(raw, 1, 8192)).rlike("^(..)*00")
+    nul = F.instr(F.decode(F.substring(raw, 1, 8192), "ISO-8859-1"), "\0") > 0
     ok = ~nul & F.is_valid_utf8(bare.cast("string"))
     out = files.withColumn("sha256", F.sha2(raw, 256)).withColumn("text", F.when(ok, bare.cast("string")))
     return out.withColumn("kind", F.when(ok, F.col("kind")).otherwise("opaque")).withColumn("language", F.when(ok, F.col("language"))).drop("content")
