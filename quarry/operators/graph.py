@@ -165,3 +165,57 @@ def first_party_gate(resolved: Column, total: Column) -> Column:
 def keep_rank(doc_type: Column) -> Column:
     """Order in which dependents are kept when not all fit."""
     return F.when(doc_type == "implementation", 0).when(doc_type == "test", 1).when(doc_type == "reference", 2).when(doc_type == "generated", 4).otherwise(3)
+
+
+def namespace_targets(imports: DataFrame, declarations: DataFrame) -> DataFrame:
+    """Imports with every file of their root and unit that declares the namespace (none: no row)."""
+    d = declarations.select("root_label", unit_of("rel_path").alias("unit"), F.col("symbol").alias("module"), F.col("rel_path").alias("target_path"))
+    return imports.withColumn("unit", unit_of("rel_path")).join(d, ["root_label", "unit", "module"]).drop("unit")
+
+
+def resolution_coverage(imports: DataFrame, by: str) -> DataFrame:
+    """For each language: edges that could resolve, and those that do; kinds declined by design don't count."""
+    own = imports.where(~F.col("kind").isin(DECLINED_KINDS))
+    return own.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count("resolved_path").alias("resolved"))
+
+
+def route_callers(calls: DataFrame, files: DataFrame) -> DataFrame:
+    """Calls with the file that their route leads to, also in another root; calls that lead nowhere are kept."""
+    target = files.select(F.col("root_label").alias("resolved_root"), F.col("rel_path").alias("resolved_path"), F.col("language").alias("target_language"))
+    return calls.join(target, ["resolved_root", "resolved_path"], "left")
+
+
+def route_coverage(calls: DataFrame, by: str = "kind") -> DataFrame:
+    """For each kind: total, resolved, and the share of calls known exactly."""
+    return calls.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count("resolved_path").alias("resolved"), F.round(F.avg(F.col("exact").cast("double")), 6).alias("precision"))
+
+
+def work_queue(imports: DataFrame, files: DataFrame, only_root: str | None = None) -> DataFrame:
+    """Distinct unresolved modules of files that still exist, optionally of one root."""
+    own = imports.where("resolved_path is null").join(files.select("root_label", "rel_path").distinct(), ["root_label", "rel_path"], "left_semi")
+    own = own if only_root is None else own.where(F.col("root_label") == only_root)
+    return own.select("root_label", "rel_path", "module").distinct()
+
+
+#: What to tell about unresolved edges, by origin; null is an origin not yet known.
+UNRESOLVED = {"declared_dependency": "external package", "framework": "standard library", "first_party": "unresolved first-party", "unclassified": "unclassified"}
+
+
+def unresolved_notes(edges: DataFrame) -> DataFrame:
+    """Unresolved edges counted by what to tell about them."""
+    note = F.lit("unclassified")
+    for origin_, text in UNRESOLVED.items():
+        note = F.when(F.col("origin") == origin_, text).otherwise(note)
+    return edges.where("resolved_path is null").groupBy(note.alias("note")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stale_graph(files: DataFrame, languages: list[str], version: int) -> DataFrame:
+    """Files whose edges an older scanner found; they are scanned again without being embedded."""
+    return files.where(F.col("language").isin(languages) & (F.coalesce("graph_version", F.lit(0)) < version))
+
+
+def overlay(hits: DataFrame, diverged: DataFrame, worktree: str) -> DataFrame:
+    """Hits with diverged, and the path in the worktree for files that differ there."""
+    own = diverged.select("rel_path", F.lit(True).alias("_d")).distinct()
+    out = hits.join(own, "rel_path", "left").withColumn("diverged", F.coalesce("_d", F.lit(False)))
+    return out.withColumn("shown_path", F.when(F.col("diverged"), F.concat(F.lit(worktree.rstrip("/") + "/"), F.col("rel_path"))).otherwise(F.col("rel_path"))).drop("_d")

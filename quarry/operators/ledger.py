@@ -112,3 +112,22 @@ def tool_call_stats(calls: DataFrame, tool: str, returned: str) -> DataFrame:
 
 def disappointing(calls: DataFrame, returned: str, dropped: str) -> DataFrame:
     return calls.where((F.col(returned) == 0) | (F.col(dropped) > 0))
+
+
+def consistency(recorded: DataFrame, stored: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Spaces of the ledger against those of the store: missing on either side, differing counts, or ok."""
+    a, b = recorded.select(key, F.col(n).alias("recorded")), stored.select(key, F.col(n).alias("stored"))
+    state = F.when(F.col("stored").isNull(), "not stored").when(F.col("recorded").isNull(), "not recorded").when(F.col("recorded") != F.col("stored"), "count differs").otherwise("ok")
+    return a.join(b, key, "full_outer").withColumn("state", state)
+
+
+def diverged(recorded: DataFrame, stored: DataFrame, share: float = 0.9) -> DataFrame:
+    """One row: recorded, stored, and whether less than the share is stored."""
+    a, b = recorded.agg(F.count(F.lit(1)).alias("recorded")), stored.agg(F.count(F.lit(1)).alias("stored"))
+    return a.crossJoin(b).withColumn("diverged", F.col("stored") < F.col("recorded") * share)
+
+
+def unreliable_parses(chunks: DataFrame, keys: list[str], share: float = 0.5) -> DataFrame:
+    """Files of which at least this share of chunks was cut without a parse."""
+    out = chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("chunks"), F.count_if("parse_degraded").alias("degraded"))
+    return out.where(F.col("degraded") >= F.col("chunks") * share)

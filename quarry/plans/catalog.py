@@ -506,3 +506,75 @@ def hourly_tool_windows(spark, sf):
 
     own = t(spark, sf, "events").withColumn("returned", F.floor("value") % 10)
     return tool_windows(own, at="ts", tool="event_type", returned="returned").select(F.col("start").alias("hour"), "event_type", "calls", "empty")
+
+
+# --- more of the graph and the ledger
+
+
+@query("namespace_targets", "WITH d AS (SELECT p_partkey, p_brand AS symbol FROM part WHERE p_partkey % 9 = 0) SELECT i.p_partkey AS importer, d.p_partkey AS target FROM part i JOIN d ON d.symbol = i.p_brand AND d.p_partkey % 4 = i.p_partkey % 4 WHERE i.p_partkey <= 60")
+def namespace_targets(spark, sf):
+    part = t(spark, sf, "part").select(F.lit("r").alias("root_label"), F.concat(F.lit("u"), (F.col("p_partkey") % 4).cast("string"), F.lit("/"), F.col("p_partkey").cast("string")).alias("rel_path"), F.col("p_brand").alias("module"), "p_partkey")
+    found = graph.namespace_targets(part.where("p_partkey <= 60").withColumnRenamed("p_partkey", "importer"), part.where("p_partkey % 9 = 0").withColumnRenamed("module", "symbol"))
+    return found.select("importer", F.substring_index("target_path", "/", -1).cast("bigint").alias("target"))
+
+
+@query("resolution_coverage", f"WITH {EDGES} SELECT kind AS language, count(*) AS total, count(resolved) AS resolved FROM edges WHERE line <> 3 GROUP BY 1")
+def resolution_coverage(spark, sf):
+    own = _edges(spark, sf).select(F.col("kind").alias("language"), F.col("resolved").alias("resolved_path"), F.expr("if(line = 3, 'using_static', 'using')").alias("kind"))
+    return graph.resolution_coverage(own, "language")
+
+
+@query("work_queue", f"WITH {EDGES} SELECT DISTINCT importer, target FROM edges WHERE resolved IS NULL AND importer IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def work_queue(spark, sf):
+    imports, _ = _graph(spark, sf)
+    alive = t(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.lit("r").alias("root_label"), F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("rel_path"))
+    found = graph.work_queue(imports, alive, "r")
+    return found.select(F.substring_index("rel_path", "/", -1).cast("bigint").alias("importer"), F.substring_index("module", "/", -1).cast("bigint").alias("target"))
+
+
+@query("unresolved_notes", f"WITH {EDGES} SELECT CASE target % 4 WHEN 0 THEN 'external package' WHEN 1 THEN 'standard library' ELSE 'unclassified' END AS note, count(*) AS n FROM edges WHERE resolved IS NULL GROUP BY 1")
+def unresolved_notes(spark, sf):
+    own = _edges(spark, sf).withColumnRenamed("resolved", "resolved_path").withColumn("origin", F.expr("case target % 4 when 0 then 'declared_dependency' when 1 then 'framework' when 2 then 'unclassified' end"))
+    return graph.unresolved_notes(own)
+
+
+_CALLS = "calls AS (SELECT l_linestatus AS kind, l_linenumber <> 2 AS exact, CASE WHEN l_quantity > 10 THEN l_partkey END AS resolved, l_orderkey AS id, l_linenumber AS line FROM lineitem)"
+
+
+@query("route_coverage", f"WITH {_CALLS} SELECT kind, count(*) AS total, count(resolved) AS resolved, round(avg(exact::INT), 6) AS precision FROM calls GROUP BY 1")
+def route_coverage(spark, sf):
+    return graph.route_coverage(t(spark, sf, "lineitem").select(F.col("l_linestatus").alias("kind"), (F.col("l_linenumber") != 2).alias("exact"), F.expr("if(l_quantity > 10, l_partkey, null)").alias("resolved_path")))
+
+
+@query("route_callers", f"WITH {_CALLS} SELECT id, line, p_brand AS target_language FROM calls LEFT JOIN part ON p_partkey = resolved AND p_size > 10 WHERE id <= 800")
+def route_callers(spark, sf):
+    calls = t(spark, sf, "lineitem").where("l_orderkey <= 800").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.lit("r").alias("resolved_root"), F.expr("if(l_quantity > 10, l_partkey, null)").alias("resolved_path"))
+    targets = t(spark, sf, "part").where("p_size > 10").select(F.lit("r").alias("root_label"), F.col("p_partkey").alias("rel_path"), F.col("p_brand").alias("language"))
+    return graph.route_callers(calls, targets).select("id", "line", "target_language")
+
+
+@query("store_consistency", "WITH a AS (SELECT lang AS slug, count(*) AS recorded FROM documents WHERE lang <> 'es' GROUP BY 1), b AS (SELECT lang AS slug, count(*) AS stored FROM documents WHERE lang <> 'fr' AND (lang <> 'de' OR doc_id % 2 = 0) GROUP BY 1) SELECT slug, recorded, stored, CASE WHEN stored IS NULL THEN 'not stored' WHEN recorded IS NULL THEN 'not recorded' WHEN recorded <> stored THEN 'count differs' ELSE 'ok' END AS state FROM a FULL JOIN b USING (slug)")
+def store_consistency(spark, sf):
+    count = lambda where: t(spark, sf, "documents").where(where).groupBy(F.col("lang").alias("slug")).agg(F.count(F.lit(1)).alias("n"))
+    return ledger.consistency(count("lang <> 'es'"), count("lang <> 'fr' and (lang <> 'de' or doc_id % 2 = 0)"), "slug")
+
+
+@query("store_divergence", "SELECT (SELECT count(*) FROM documents) AS recorded, (SELECT count(*) FROM embeddings) AS stored, (SELECT count(*) FROM embeddings) < (SELECT count(*) FROM documents) * 0.9 AS diverged")
+def store_divergence(spark, sf):
+    return ledger.diverged(t(spark, sf, "documents"), t(spark, sf, "embeddings"))
+
+
+@query("unreliable_parses", "SELECT source, count(*) AS chunks, count(*) FILTER (lang <> 'en') AS degraded FROM documents GROUP BY 1 HAVING count(*) FILTER (lang <> 'en') >= count(*) * 0.4")
+def unreliable_parses(spark, sf):
+    return ledger.unreliable_parses(t(spark, sf, "documents").withColumn("parse_degraded", F.col("lang") != "en"), ["source"], 0.4)
+
+
+@query("worktree_overlay", f"WITH {FILES} SELECT doc_id, doc_id % 3 = 0 AS diverged, CASE WHEN doc_id % 3 = 0 THEN '/wt/' || rel_path ELSE rel_path END AS shown_path FROM files")
+def worktree_overlay(spark, sf):
+    own = files(spark, sf).select("doc_id", "rel_path")
+    return graph.overlay(own, own.where("doc_id % 3 = 0"), "/wt/").select("doc_id", "diverged", "shown_path")
+
+
+@query("files_by_unit", f"WITH {FILES} SELECT root_label, unit, list_sort(list(DISTINCT doc_id % 10)) AS shelves, count(*) AS files FROM files GROUP BY 1, 2")
+def files_by_unit(spark, sf):
+    return files(spark, sf).groupBy("root_label", text.unit_of("rel_path").alias("unit")).agg(F.array_sort(F.collect_set(F.col("doc_id") % 10)).alias("shelves"), F.count(F.lit(1)).alias("files"))
