@@ -17,4 +17,4 @@ QUERIES = {
     "op10_toxicity": toxicity.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.SQL, "op7_decontaminate": decontaminate.SQL}

@@ -46,6 +46,10 @@ def test_query_equals_brute_force(spark):
     read = lambda t, k: duckdb.sql(f"select {k}, text from '{SF}/{t}.parquet'").fetchall()
     want = sorted(brute(read("documents", "doc_id"), read("benchmark", "item_id")))
     assert got == want and any(r[5] for r in want)
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    assert sorted(con.sql(d.SQL).fetchall()) == want
 
 
 def test_random_texts_in_blocks(spark):
