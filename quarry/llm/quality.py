@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import cut, fresh, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -43,15 +43,17 @@ RULES = {
 
 def statistics(docs: DataFrame, *, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """The documents with the statistics that rules look at, and the names these columns have."""
-    name = {k: fresh(docs, k) for k in ("words", "lines", "grams", "sorted_grams", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_shouts", "n_short")}
+    name = {k: fresh(docs, k) for k in ("words", "lines", "grams", "sorted_grams", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts", "n_short")}
     n = lambda k: F.col(f"`{name[k]}`")
     t = F.coalesce(F.col(text), F.lit(""))
     by = docs.withColumn(name["words"], F.filter(F.split(t, SPACE, -1), lambda w: w != ""))
     by = by.withColumn(name["lines"], F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0))
     words = n("words")
-    hashes = F.when(F.size(words) >= 3, F.zip_with(F.zip_with(F.slice(words, 1, F.size(words) - 2), F.slice(words, 2, F.size(words) - 2), lambda a, b: F.struct(a, b)), F.slice(words, 3, F.size(words) - 2), lambda ab, c: F.xxhash64(ab, c)))
-    by = by.withColumn(name["grams"], F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    by = by.withColumn(name["sorted_grams"], F.array_sort(n("grams")))
+    three = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    by = by.withColumn(name["grams"], F.when(F.size(words) >= 3, F.slice(three, F.lit(1), F.size(words) - 2)))
+    # most texts repeat no trigram: only the others are sorted
+    repeats = F.size(F.array_distinct(n("grams"))) < F.size(n("grams"))
+    by = by.withColumn(name["sorted_grams"], F.when(repeats, F.array_sort(F.transform(n("grams"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     s = n("sorted_grams")
     m = F.size(s)
     twice = F.zip_with(F.slice(s, 1, m - 1), F.slice(s, 2, m - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], a["i"] + 1, a["i"] + 2, b["i"], b["i"] + 1, b["i"] + 2)))
@@ -66,9 +68,8 @@ def statistics(docs: DataFrame, *, text: str = "text") -> tuple[DataFrame, dict[
         long(F.coalesce(covered, F.lit(0))).alias(name["n_repeat_words"]),
         F.size(n("lines")).alias(name["n_lines"]),
         F.length(F.regexp_replace(t, r"\P{Lu}+", "")).alias(name["n_upper"]),
-        F.length(F.regexp_replace(t, r"\P{Ll}+", "")).alias(name["n_lower"]),
         (F.length(t) - F.length(F.translate(t, "!?", ""))).alias(name["n_shouts"]),
-        F.size(F.filter(words, lambda w: w.rlike(r"^\p{L}{1,3}[.,;:]?$"))).alias(name["n_short"]),
+        F.regexp_count(t, F.lit(r"(?<![^\x20\x09-\x0D])\p{L}{1,3}[.,;:]?(?![^\x20\x09-\x0D])")).alias(name["n_short"]),
     )
     return by, name
 
@@ -80,7 +81,7 @@ def votes(name: dict[str, str]) -> dict[str, F.Column]:
     value = {
         "n_words": n["n_words"], "mean_word": part(n["word_chars"], n["n_words"]), "symbol_share": part(n["n_symbols"], n["n_words"]),
         "repeat_share": part(n["n_repeat_words"], n["n_words"]), "dup_line_share": part(n["n_dup_lines"], n["n_lines"]),
-        "upper_share": part(n["n_upper"], n["n_upper"] + n["n_lower"]), "shout_share": part(n["n_shouts"], n["n_words"]), "short_share": part(n["n_short"], n["n_words"]),
+        "upper_share": part(n["n_upper"], n["word_chars"]), "shout_share": part(n["n_shouts"], n["n_words"]), "short_share": part(n["n_short"], n["n_words"]),
     }
     out = {}
     for rule, (of, low, high, good) in RULES.items():
@@ -127,9 +128,13 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, start: tup
     return share, chance
 
 
-def judge(docs: DataFrame, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents with their statistics, p_good (the posterior) and good (p_good at least the threshold)."""
+def judge(docs: DataFrame, *, text: str = "text", threshold: float = 0.5, drop_text: bool = False) -> DataFrame:
+    """The documents with their statistics, p_good (the posterior) and good (p_good at least the threshold).
+
+    drop_text: leave out the text, and keep the statistics in the checkpoint folder between the two passes over them."""
     counted, name = statistics(docs, text=text)
+    if drop_text:
+        counted = cut(counted.drop(text))
     cast = votes(name)
     rows = counted.select(*[v.alias(k) for k, v in cast.items()]).groupBy(*cast).count().collect()  # 3**rules rows at most
     share, chance = estimate(sorted((tuple(r)[:-1], r["count"]) for r in rows), len(cast))
@@ -142,6 +147,6 @@ def judge(docs: DataFrame, *, text: str = "text", threshold: float = 0.5) -> Dat
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), "p_good")
