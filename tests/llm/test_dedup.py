@@ -214,3 +214,25 @@ def test_components(spark):
     for most in (10**6, 0):
         got = {r[0]: r[1] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long"), most).collect()}
         assert got == {**{i: 0 for i in range(41)}, **{i: 90 for i in (90, 95, 100, 300)}}
+
+
+def pairs_found(spark, pairs):
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = {r[0]: r[1] for r in near_dedup.classes(spark.createDataFrame(rows, TEXT)).collect()}
+    return [got[2 * i] == got[2 * i + 1] for i in range(len(pairs))]
+
+
+def test_scattered_edits_down_to_the_threshold(spark):
+    """Copies at edit similarity 0.80 to 0.90, each edit breaking five k-mers: all are found, and none just below 0.8."""
+    rng = random.Random(8)
+    pairs, wanted = [], []
+    for i in range(120):
+        words = prose(rng, 200).split()
+        edits = rng.choice((20, 25, 30, 35, 40, 42))
+        copy = list(words)
+        for at in rng.sample(range(200), edits):
+            copy[at] = f"new{i}x{at}"
+        pairs.append((" ".join(words), " ".join(copy)))
+        wanted.append(edits <= 40)
+    assert pairs_found(spark, pairs) == wanted
+    assert pairs_found(spark, [("a b c d e", "a b x d e"), ("a1 b1 c1 d1", "a1 b1 x1 d1"), ("p q", "p q"), ("z", "y")]) == [True, False, True, False]
