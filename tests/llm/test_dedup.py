@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from quarry.llm import line_dedup, near_dedup, substring_dedup
 
@@ -236,3 +237,35 @@ def test_scattered_edits_down_to_the_threshold(spark):
         wanted.append(edits <= 40)
     assert pairs_found(spark, pairs) == wanted
     assert pairs_found(spark, [("a b c d e", "a b x d e"), ("a1 b1 c1 d1", "a1 b1 x1 d1"), ("p q", "p q"), ("z", "y")]) == [True, False, True, False]
+
+
+def test_similar_texts_whose_buckets_have_other_hubs(spark):
+    """All texts quote one passage of 120 words, so hubs are dissimilar to most members; every copy is found even so."""
+    rng = random.Random(9)
+    passage = prose(rng, 120)
+    pairs = []
+    for i in range(150):
+        own = prose(rng, 80).split()
+        copy = list(own)
+        for at in rng.sample(range(80), rng.choice((10, 20, 24, 38))):
+            copy[at] = f"new{i}x{at}"
+        pairs.append((f"{' '.join(own)} {passage}", f"{' '.join(copy)} {passage}"))
+    assert all(pairs_found(spark, pairs))
+
+
+def test_pairs_of_a_key_across_batches():
+    rng = np.random.RandomState(3)
+    rows = sorted((int(k), int(v), i, 10) for i, (k, v) in enumerate(zip(rng.randint(0, 9, 200), rng.randint(0, 4, 200))))
+    cols = [np.array(x) for x in zip(*rows)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 7]) for c in cols], names=["key", "label", "id", "n"]) for i in range(0, 200, 7)]
+    got = sorted((a, b) for out in near_dedup._across(batches, 0.8) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
+    assert got == sorted((min(x[2], y[2]), max(x[2], y[2])) for i, x in enumerate(rows) for y in rows[:i] if x[0] == y[0] and x[1] != y[1])
+
+
+def test_bags_never_exceed_the_distance():
+    for seed in range(500):
+        rng = random.Random(seed)
+        a = [rng.randint(0, 9) for _ in range(rng.randint(1, 40))]
+        b = [rng.randint(0, 9) if rng.random() < 0.3 else x for x in a][: rng.randint(1, 40)] or [1]
+        assert near_dedup.apart(*(near_dedup.bag(np.array(x, np.uint64)) for x in (a, b))) <= table_distance(a, b)
+    assert near_dedup.apart(near_dedup.bag(np.zeros(900, np.uint64)), near_dedup.bag(np.ones(900, np.uint64))) == 255
