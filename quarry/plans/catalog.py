@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,9 +38,13 @@ FILES = "files AS (SELECT doc_id, text, lang AS root_label, source AS unit, sour
 PASSAGES = "SELECT item_id, text FROM benchmark WHERE item_id < 5"
 
 
-def passages(spark: SparkSession, sf: str) -> DataFrame:
-    """Five benchmark passages serve as the search queries of a session."""
-    return t(spark, sf, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+#: Which rows serve as search queries, by id: a session's five, every one divisible by 50, all.
+FIVE, BY_50, ALL = "{} < 5", "{} % 50 = 0", "{} IS NOT NULL"
+
+
+def passages(spark: SparkSession, sf: str, which: str = FIVE) -> DataFrame:
+    """Benchmark passages serve as the search queries of a session."""
+    return t(spark, sf, "benchmark").where(which.format("item_id")).select(F.col("item_id").alias("query_id"), "text")
 
 
 # --- retrieval
@@ -64,8 +69,8 @@ def _index(spark, sf):
     return retrieval.postings(t(spark, sf, "documents"), row="doc_id", text="text")
 
 
-def _query_vectors(spark, sf):
-    return t(spark, sf, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+def _query_vectors(spark, sf, which=FIVE):
+    return t(spark, sf, "embeddings").where(which.format("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
 
 
 def _ranked(name: str, k: int, where: str = "") -> str:
@@ -73,30 +78,30 @@ def _ranked(name: str, k: int, where: str = "") -> str:
 
 
 @query("bm25_topk", f"WITH {BM25} {_ranked('bm25', 10)}")
-def bm25_topk(spark, sf):
-    return retrieval.top(retrieval.bm25(_index(spark, sf), passages(spark, sf), query="query_id", text="text"), 10)
+def bm25_topk(spark, sf, which=FIVE):
+    return retrieval.top(retrieval.bm25(_index(spark, sf), passages(spark, sf, which), query="query_id", text="text"), 10)
 
 
 @query("bm25_topk_filtered", f"WITH {BM25} {_ranked('bm25', 10, f'WHERE row IN ({ALLOWED})')}")
-def bm25_topk_filtered(spark, sf):
-    return retrieval.top(retrieval.bm25(_index(spark, sf), passages(spark, sf), query="query_id", text="text", allowed=_allowed(spark, sf)), 10)
+def bm25_topk_filtered(spark, sf, which=FIVE):
+    return retrieval.top(retrieval.bm25(_index(spark, sf), passages(spark, sf, which), query="query_id", text="text", allowed=_allowed(spark, sf)), 10)
 
 
-def _dense(spark, sf, allowed=None):
+def _dense(spark, sf, which, allowed=None):
     own = t(spark, sf, "embeddings")
     if allowed is not None:
         own = own.join(allowed.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    return retrieval.dense(own, _query_vectors(spark, sf), row="vec_id", vector="embedding", query="query_id", query_vector="qv")
+    return retrieval.dense(own, _query_vectors(spark, sf, which), row="vec_id", vector="embedding", query="query_id", query_vector="qv")
 
 
 @query("dense_topk", f"WITH {DENSE} {_ranked('dense', 10)}")
-def dense_topk(spark, sf):
-    return retrieval.top(_dense(spark, sf), 10)
+def dense_topk(spark, sf, which=FIVE):
+    return retrieval.top(_dense(spark, sf, which), 10)
 
 
 @query("dense_topk_filtered", f"WITH {DENSE} {_ranked('dense', 10, f'WHERE row IN ({ALLOWED})')}")
-def dense_topk_filtered(spark, sf):
-    return retrieval.top(_dense(spark, sf, _allowed(spark, sf)), 10)
+def dense_topk_filtered(spark, sf, which=FIVE):
+    return retrieval.top(_dense(spark, sf, which, _allowed(spark, sf)), 10)
 
 
 def _fused(where: str = "") -> str:
@@ -104,19 +109,19 @@ def _fused(where: str = "") -> str:
 fused AS (SELECT query_id, row, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM ranks GROUP BY 1, 2) {_ranked('fused', 10)}"""
 
 
-def _hybrid(spark, sf, allowed=None):
-    q = passages(spark, sf).join(_query_vectors(spark, sf), "query_id")
+def _hybrid(spark, sf, which, allowed=None):
+    q = passages(spark, sf, which).join(_query_vectors(spark, sf, which), "query_id", "full")  # a query may lack text or vector
     return retrieval.hybrid(_index(spark, sf), t(spark, sf, "embeddings"), q, query="query_id", text="text", query_vector="qv", row="vec_id", vector="embedding", k=10, allowed=allowed)
 
 
 @query("hybrid_rrf", _fused())
-def hybrid_rrf(spark, sf):
-    return _hybrid(spark, sf)
+def hybrid_rrf(spark, sf, which=FIVE):
+    return _hybrid(spark, sf, which)
 
 
 @query("hybrid_rrf_filtered", _fused(f"WHERE row IN ({ALLOWED})"))
-def hybrid_rrf_filtered(spark, sf):
-    return _hybrid(spark, sf, _allowed(spark, sf))
+def hybrid_rrf_filtered(spark, sf, which=FIVE):
+    return _hybrid(spark, sf, which, _allowed(spark, sf))
 
 
 @query(
@@ -126,9 +131,9 @@ def hybrid_rrf_filtered(spark, sf):
   FROM hits h JOIN queries q ON q.item_id = h.query_id JOIN documents d ON d.doc_id = h.row)
 SELECT query_id, row, rank, round(rerank_score, 6) AS rerank_score, rerank_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rerank_rank FROM scored) WHERE rerank_rank <= 10""",
 )
-def rerank_lexical(spark, sf):
-    hits = retrieval.top(retrieval.bm25(_index(spark, sf), passages(spark, sf), query="query_id", text="text"), retrieval.PREFETCH)
-    own = hits.join(passages(spark, sf).withColumnRenamed("text", "q"), "query_id").join(t(spark, sf, "documents").select(F.col("doc_id").alias("row"), "text"), "row")
+def rerank_lexical(spark, sf, which=FIVE):
+    hits = retrieval.top(retrieval.bm25(_index(spark, sf), passages(spark, sf, which), query="query_id", text="text"), retrieval.PREFETCH)
+    own = hits.join(passages(spark, sf, which).withColumnRenamed("text", "q"), "query_id").join(t(spark, sf, "documents").select(F.col("doc_id").alias("row"), "text"), "row")
     return retrieval.rerank(own, retrieval.lexical_score(F.col("q"), F.col("text")), n=10).select("query_id", "row", "rank", F.round("rerank_score", 6).alias("rerank_score"), "rerank_rank")
 
 
@@ -397,10 +402,10 @@ TRUTH = "truth AS (SELECT item_id AS query_id, doc_id AS row FROM benchmark b JO
 
 @query("recall_and_mrr", f"""WITH {BM25}, hits AS ({_ranked('bm25', 10)}), {TRUTH}, j AS (SELECT query_id, count(*) AS expected, count(rank) AS satisfied, min(rank) AS first_hit FROM truth LEFT JOIN hits USING (query_id, row) GROUP BY 1)
 SELECT count(*) AS cases, round(avg(satisfied / expected), 6) AS recall_at_k, round(avg(coalesce(1.0 / first_hit, 0)), 6) AS mrr_at_k, count(*) FILTER (satisfied < expected) AS misses FROM j""")
-def recall_and_mrr(spark, sf):
-    hits = bm25_topk(spark, sf)
-    q = passages(spark, sf).withColumnRenamed("text", "passage")
-    truth = t(spark, sf, "documents").join(F.broadcast(q), F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("row"))  # five passages
+def recall_and_mrr(spark, sf, which=FIVE):
+    hits = bm25_topk(spark, sf, which)
+    q = passages(spark, sf, which).withColumnRenamed("text", "passage")
+    truth = t(spark, sf, "documents").join(F.broadcast(q), F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("row"))  # a benchmark is small
     return evaluation.report(evaluation.judge(truth, hits, case="query_id", expected="row"))
 
 
@@ -578,3 +583,19 @@ def worktree_overlay(spark, sf):
 @query("files_by_unit", f"WITH {FILES} SELECT root_label, unit, list_sort(list(DISTINCT doc_id % 10)) AS shelves, count(*) AS files FROM files GROUP BY 1, 2")
 def files_by_unit(spark, sf):
     return files(spark, sf).groupBy("root_label", text.unit_of("rel_path").alias("unit")).agg(F.array_sort(F.collect_set(F.col("doc_id") % 10)).alias("shelves"), F.count(F.lit(1)).alias("files"))
+
+
+# --- the searches over the whole query sets, beside those of five queries: every id divisible by 50, all items for recall
+
+
+def _over(name: str, suffix: str, which: str) -> None:
+    """The search of that name with other query rows, and its SQL with them."""
+    sql = SQL[name]
+    for row in ("item_id", "vec_id"):
+        sql = sql.replace(f"{row} < 5", which.format(row))
+    query(f"{name}_{suffix}", sql)(partial(QUERIES[name], which=which))
+
+
+for _name in ("bm25_topk", "bm25_topk_filtered", "dense_topk", "dense_topk_filtered", "hybrid_rrf", "hybrid_rrf_filtered", "rerank_lexical"):
+    _over(_name, "by_50", BY_50)
+_over("recall_and_mrr", "all", ALL)

@@ -40,3 +40,10 @@ def test_query_equals_sql(spark, tables, name):
     assert sorted(rel.columns) == names
     at = [rel.columns.index(c) for c in names]
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
+
+
+def test_searches_run_every_query(spark, tables):
+    every = {r[0] for r in tables.sql("select vec_id from embeddings where vec_id % 50 = 0").fetchall()}
+    assert len(every) > 1 and {r.query_id for r in catalog.QUERIES["dense_topk_by_50"](spark, SF).collect()} == every
+    items = tables.sql("select count(distinct item_id) from benchmark b join documents d on contains(d.text, b.text)").fetchall()[0][0]
+    assert catalog.QUERIES["recall_and_mrr_all"](spark, SF).first()["cases"] == items
