@@ -6,12 +6,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.vectors import cosine
 
 RRF_K, PREFETCH, K1, B = 60, 50, 1.2, 0.75
 TOKEN = r"([\p{L}]+)"
-#: Query rows that are broadcast against the corpus; more go by an equi-join on terms, or in blocks for vectors.
+#: Query rows that are broadcast against the corpus at a time; more vectors go in blocks, one pass each (terms go by an equi-join).
 MAX_BROADCAST_QUERIES = 10_000
 
 
@@ -76,9 +77,23 @@ def bm25(index: DataFrame, queries: DataFrame, *, query: str, text: str, allowed
 
 
 def dense(vectors: DataFrame, queries: DataFrame, *, row: str, vector: str, query: str, query_vector: str, digits: int = 6) -> DataFrame:
-    """query_id, row, score: cosine of every stored vector with each of a stated, bounded set of queries."""
-    few = F.broadcast(queries.select(F.col(query).alias("query_id"), F.col(query_vector).alias("q")).limit(MAX_BROADCAST_QUERIES))
-    return vectors.select(F.col(row).alias("row"), F.col(vector).alias("v")).crossJoin(few).select("query_id", "row", F.round(cosine("v", "q"), digits).alias("score")).where("score is not null")
+    """query_id, row, score: cosine of every stored vector with each query.
+
+    Queries are counted; where they are more than one broadcast holds, each block of them is a pass over the vectors."""
+    wanted = queries.select(F.col(query).alias("query_id"), F.col(query_vector).alias("q"))
+    stored = vectors.select(F.col(row).alias("row"), F.col(vector).alias("v"))
+    n = wanted.count()
+    if n > MAX_BROADCAST_QUERIES:  # consecutive numbers: no block has more rows than a broadcast may
+        spark = wanted.sparkSession
+        numbered = spark.createDataFrame(wanted.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), StructType([*wanted.schema.fields, StructField("_k", LongType())])).persist()
+        blocks = [numbered.where((F.col("_k") >= i) & (F.col("_k") < i + MAX_BROADCAST_QUERIES)).drop("_k") for i in range(0, n, MAX_BROADCAST_QUERIES)]
+    else:
+        blocks = [wanted]
+    out = None
+    for few in blocks:
+        some = stored.crossJoin(F.broadcast(few)).select("query_id", "row", F.round(cosine("v", "q"), digits).alias("score")).where("score is not null")
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
 def top(scored: DataFrame, k: int, *, by: str = "query_id", score: str = "score", tie: str = "row") -> DataFrame:

@@ -27,8 +27,13 @@ def kept_changes(changes: DataFrame, ignored: list[str], *, path: str = "path",
     if unwatched is not None:
         from ..functions.text import ancestors_of
 
+        # a directory of n names can only equal a path's n-th ancestor: one equi-join a depth, which streams may do too
+        named = unwatched.select("dir", F.size(F.split("dir", "/")).alias("depth"))
         below = changes.withColumn("_dirs", ancestors_of(path))
-        changes = below.join(F.broadcast(unwatched.limit(10_000)), F.expr("array_contains(_dirs, dir)"), "left_anti").drop("_dirs")
+        for depth in sorted(r[0] for r in named.where("dir is not null").select("depth").distinct().collect()):
+            dirs = named.where(F.col("depth") == depth).select(F.col("dir").alias("_dir"))
+            below = below.join(dirs, F.get("_dirs", F.lit(depth - 1)) == F.col("_dir"), "left_anti")
+        changes = below.drop("_dirs")
     return changes
 
 

@@ -154,3 +154,18 @@ def test_streams_equal_batches(spark, tmp_path):
     changes.run_on_changes(bursts, lambda roots, n: calls.append(roots), str(tmp_path / "c3"), once=True).awaitTermination(60)
     assert calls and calls[0] == sorted({r[0] for r in src.select("event_type").distinct().collect()})
     assert time.time() > 0
+
+
+def test_more_queries_than_a_broadcast_holds(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MAX_BROADCAST_QUERIES", 3)
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "id long, v array<double>")
+    queries = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(11)], "q long, w array<double>")
+    got = retrieval.dense(vectors, queries, row="id", vector="v", query="q", query_vector="w").collect()
+    want = {(q, i): round((q + i) / ((q * q + 1) * (i * i + 1)) ** 0.5, 6) for q in range(11) for i in range(5)}
+    assert len(got) == 55 and {(r[0], r[1]): r[2] for r in got} == want
+
+
+def test_more_unwatched_directories_than_ten_thousand(spark):
+    own = spark.createDataFrame([(f"a/d{i}/x/f.py",) for i in range(12_000)] + [("a/kept/f.py",), ("d7",)], "path string")
+    dirs = spark.createDataFrame([(f"a/d{i}",) for i in range(12_000)] + [("b",)], "dir string")
+    assert sorted(r[0] for r in changes.kept_changes(own, [], unwatched=dirs).collect()) == ["a/kept/f.py", "d7"]
