@@ -161,10 +161,10 @@ def filtered_count(spark, sf):
 
 
 @query("staleness_flag", "SELECT d.doc_id, (m.doc_id IS NULL OR NOT contains(m.text, substr(d.text, 1, 40))) AS stale FROM documents d LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0) m USING (doc_id)")
-def staleness_flag(spark, sf):
+def staleness_flag(spark, sf, whole=False):
     docs = t(spark, sf, "documents")
     now = docs.where("doc_id % 7 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.reverse("text")).otherwise(F.col("text")).alias("text"))
-    return retrieval.flag_stale(docs.select("doc_id", F.substring("text", 1, 40).alias("source_text")), now, on=["doc_id"]).select("doc_id", "stale")
+    return retrieval.flag_stale(docs.select("doc_id", (F.col("text") if whole else F.substring("text", 1, 40)).alias("source_text")), now, on=["doc_id"]).select("doc_id", "stale")
 
 
 # --- scalars, paths, identity
@@ -214,9 +214,9 @@ def url_segments(spark, sf):
     r"""WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS words, len(regexp_extract_all(text, '\b(The|And|Of)\b')) AS strong, len(regexp_extract_all(text, '(?i)\b(the|and|of|with)\b')) AS weak FROM documents WHERE lang = 'en')
 SELECT doc_id, round(CASE WHEN words < 120 THEN 0 ELSE (strong * 4.0 + greatest(0, weak - strong)) * 1000.0 / words END, 6) AS density FROM w""",
 )
-def modal_density(spark, sf):
+def modal_density(spark, sf, whole=False):
     d = classify.modal_density("text", emphatic=r"\b(The|And|Of)\b", ordinary=r"(?i)\b(the|and|of|with)\b")
-    return t(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.round(d, 6).alias("density"))
+    return t(spark, sf, "documents").where("true" if whole else "lang = 'en'").select("doc_id", F.round(d, 6).alias("density"))
 
 
 @query(
@@ -316,17 +316,17 @@ def _graph(spark, sf):
 
 
 @query("dependents_of", f"WITH {EDGES} SELECT DISTINCT 'p/' || resolved AS target_path, 'o/' || importer AS rel_path, o_orderpriority AS language FROM edges JOIN orders ON o_orderkey = importer WHERE resolved IS NOT NULL AND resolved <= 50")
-def dependents_of(spark, sf):
+def dependents_of(spark, sf, whole=False):
     imports, orders = _graph(spark, sf)
-    few = imports.where(F.substring_index("resolved_path", "/", -1).cast("int") <= 50)
+    few = imports if whole else imports.where(F.substring_index("resolved_path", "/", -1).cast("int") <= 50)
     return graph.dependents(few, orders).select("target_path", "rel_path", "language")
 
 
 @query("dependencies_of", f"WITH {EDGES} SELECT 'o/' || importer AS rel_path, 'p/' || target AS module, line, p_type AS target_type FROM edges LEFT JOIN part ON p_partkey = resolved WHERE importer <= 1000")
-def dependencies_of(spark, sf):
+def dependencies_of(spark, sf, whole=False):
     imports, _ = _graph(spark, sf)
     parts = t(spark, sf, "part").select(F.lit("r").alias("root_label"), F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("rel_path"), F.col("p_type").alias("doc_type"))
-    own = imports.where(F.substring_index("rel_path", "/", -1).cast("int") <= 1000)
+    own = imports if whole else imports.where(F.substring_index("rel_path", "/", -1).cast("int") <= 1000)
     return graph.dependencies(own, parts).select("rel_path", "module", "line", "target_type")
 
 
@@ -336,8 +336,8 @@ def importers_of(spark, sf):
 
 
 @query("impact_by_type", f"WITH {EDGES} SELECT resolved AS target, o_orderpriority AS doc_type, count(*) AS n FROM (SELECT DISTINCT importer, resolved FROM edges WHERE resolved <= 20) JOIN orders ON o_orderkey = importer GROUP BY 1, 2")
-def impact_by_type(spark, sf):
-    own = _edges(spark, sf).where("resolved <= 20").select("importer", F.col("resolved").alias("target")).distinct()
+def impact_by_type(spark, sf, whole=False):
+    own = _edges(spark, sf).where("resolved is not null" if whole else "resolved <= 20").select("importer", F.col("resolved").alias("target")).distinct()
     return own.join(t(spark, sf, "orders").select(F.col("o_orderkey").alias("importer"), F.col("o_orderpriority").alias("doc_type")), "importer").groupBy("target", "doc_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -385,10 +385,10 @@ def longest_prefix_root(spark, sf):
 
 @query("declaration_overlap", """WITH c AS (SELECT o_custkey AS file, o_orderkey AS chunk, dayofyear(o_orderdate) AS a, dayofyear(o_orderdate) + 20 AS b FROM orders WHERE o_orderkey <= 4000), d AS (SELECT o_custkey AS file, o_orderkey AS decl, dayofyear(o_orderdate) - 5 AS a, dayofyear(o_orderdate) + o_orderkey % 30 AS b FROM orders)
 SELECT chunk, decl FROM (SELECT chunk, decl, row_number() OVER (PARTITION BY chunk ORDER BY least(c.b, d.b) - greatest(c.a, d.a) DESC, d.b - d.a, decl) AS k FROM c JOIN d ON c.file = d.file AND c.a <= d.b AND d.a <= c.b) WHERE k = 1""")
-def declaration_overlap(spark, sf):
+def declaration_overlap(spark, sf, whole=False):
     day = F.dayofyear("o_orderdate")
     orders = t(spark, sf, "orders")
-    c = orders.where("o_orderkey <= 4000").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("chunk"), day.alias("start"), (day + 20).alias("end"))
+    c = (orders if whole else orders.where("o_orderkey <= 4000")).select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("chunk"), day.alias("start"), (day + 20).alias("end"))
     d = orders.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("decl"), (day - 5).alias("from"), (day + F.col("o_orderkey") % 30).alias("to"))
     both = c.join(d, "file").where("start <= to and from <= end")
     overlap = F.least("end", "to") - F.greatest("start", "from")
@@ -517,9 +517,10 @@ def hourly_tool_windows(spark, sf):
 
 
 @query("namespace_targets", "WITH d AS (SELECT p_partkey, p_brand AS symbol FROM part WHERE p_partkey % 9 = 0) SELECT i.p_partkey AS importer, d.p_partkey AS target FROM part i JOIN d ON d.symbol = i.p_brand AND d.p_partkey % 4 = i.p_partkey % 4 WHERE i.p_partkey <= 60")
-def namespace_targets(spark, sf):
+def namespace_targets(spark, sf, whole=False):
     part = t(spark, sf, "part").select(F.lit("r").alias("root_label"), F.concat(F.lit("u"), (F.col("p_partkey") % 4).cast("string"), F.lit("/"), F.col("p_partkey").cast("string")).alias("rel_path"), F.col("p_brand").alias("module"), "p_partkey")
-    found = graph.namespace_targets(part.where("p_partkey <= 60").withColumnRenamed("p_partkey", "importer"), part.where("p_partkey % 9 = 0").withColumnRenamed("module", "symbol"))
+    importers, declared = (part, part) if whole else (part.where("p_partkey <= 60"), part.where("p_partkey % 9 = 0"))
+    found = graph.namespace_targets(importers.withColumnRenamed("p_partkey", "importer"), declared.withColumnRenamed("module", "symbol"))
     return found.select("importer", F.substring_index("target_path", "/", -1).cast("bigint").alias("target"))
 
 
@@ -552,8 +553,8 @@ def route_coverage(spark, sf):
 
 
 @query("route_callers", f"WITH {_CALLS} SELECT id, line, p_brand AS target_language FROM calls LEFT JOIN part ON p_partkey = resolved AND p_size > 10 WHERE id <= 800")
-def route_callers(spark, sf):
-    calls = t(spark, sf, "lineitem").where("l_orderkey <= 800").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.lit("r").alias("resolved_root"), F.expr("if(l_quantity > 10, l_partkey, null)").alias("resolved_path"))
+def route_callers(spark, sf, whole=False):
+    calls = t(spark, sf, "lineitem").where("true" if whole else "l_orderkey <= 800").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.lit("r").alias("resolved_root"), F.expr("if(l_quantity > 10, l_partkey, null)").alias("resolved_path"))
     targets = t(spark, sf, "part").where("p_size > 10").select(F.lit("r").alias("root_label"), F.col("p_partkey").alias("rel_path"), F.col("p_brand").alias("language"))
     return graph.route_callers(calls, targets).select("id", "line", "target_language")
 
@@ -599,3 +600,25 @@ def _over(name: str, suffix: str, which: str) -> None:
 for _name in ("bm25_topk", "bm25_topk_filtered", "dense_topk", "dense_topk_filtered", "hybrid_rrf", "hybrid_rrf_filtered", "rerank_lexical"):
     _over(_name, "by_50", BY_50)
 _over("recall_and_mrr", "all", ALL)
+
+
+# --- the same over the whole tables and texts, beside the subsets
+
+
+def _whole(name: str, *cuts: tuple[str, str]) -> None:
+    """The query of that name without its subset, and its SQL without the conditions that cut it."""
+    sql = SQL[name]
+    for cut, instead in cuts:
+        assert cut in sql, (name, cut)
+        sql = sql.replace(cut, instead)
+    query(f"{name}_whole", sql)(partial(QUERIES[name], whole=True))
+
+
+_whole("dependents_of", (" AND resolved <= 50", ""))
+_whole("dependencies_of", (" WHERE importer <= 1000", ""))
+_whole("impact_by_type", ("resolved <= 20", "resolved IS NOT NULL"))
+_whole("declaration_overlap", (" WHERE o_orderkey <= 4000", ""))
+_whole("namespace_targets", (" WHERE p_partkey % 9 = 0", ""), (" WHERE i.p_partkey <= 60", ""))
+_whole("route_callers", (" WHERE id <= 800", ""))
+_whole("staleness_flag", ("substr(d.text, 1, 40)", "d.text"))
+_whole("modal_density", (" WHERE lang = 'en'", ""))
