@@ -6,7 +6,8 @@ fall alike in two texts again soon after an insertion. The hash needs its last 1
 is computed for all positions at once by doubling: h over 2n bytes is h over n bytes plus the earlier n shifted by n.
 
 A chunk's first copy (least document id, then row order by position) stays. A later copy goes if it belongs to a run of
-adjacent repeated chunks of at least `min_run` bytes: chance repeats of a few words stay.
+adjacent repeated chunks of at least `min_run` bytes, by default the least chunk, or the run is the whole text, however short:
+only a text's last piece, where it is shorter than a chunk and the one before it is no copy, stays.
 
 Copies are found by one aggregate over digests (with map-side combining, so a hot chunk is one row a task), and a join of
 the chunks with the repeated digests, whose skew adaptive execution splits. No group is collected but the spans of a text.
@@ -23,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from .common import fresh, slices, table, utf8
 
-MIN_BYTES, MAX_BYTES, MASK_BITS, MIN_RUN = 24, 256, 5, 96
+MIN_BYTES, MAX_BYTES, MASK_BITS, MIN_RUN = 24, 256, 5, 24
 _GEAR = np.array([int.from_bytes(blake2b(bytes([b]), digest_size=4, person=b"gear").digest(), "little") for b in range(256)], np.uint32)
 _PAD = 16
 
@@ -70,7 +71,7 @@ def chunk_ends(data: np.ndarray, mask_bits: int = MASK_BITS, least: int = MIN_BY
     return ends
 
 
-_CHUNKS = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("row", LongType()), StructField("mark", IntegerType()), StructField("at", IntegerType()), StructField("size", IntegerType())])
+_CHUNKS = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("row", LongType()), StructField("mark", IntegerType()), StructField("at", IntegerType()), StructField("size", IntegerType()), StructField("last", BooleanType())])
 
 
 def chunks(docs: DataFrame, row: str, text: str, **how) -> DataFrame:
@@ -81,7 +82,7 @@ def chunks(docs: DataFrame, row: str, text: str, **how) -> DataFrame:
             rows, marks = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in (0, 1))
             data, offsets = utf8(batch.column(2))
             for i, j in slices(offsets):
-                digests, owner, at, size = [], [], [], []
+                digests, owner, at, size, end = [], [], [], [], []
                 for r in range(i, j):
                     own, last = data[offsets[r] : offsets[r + 1]], 0
                     whole = own.tobytes()
@@ -90,12 +91,13 @@ def chunks(docs: DataFrame, row: str, text: str, **how) -> DataFrame:
                         digests.append(blake2b(whole[last:e], digest_size=16).digest())
                         at.append(last)
                         size.append(e - last)
+                        end.append(e == len(own))
                         last = e
                     owner.append((r, len(ends)))
                 both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 of = np.repeat(np.array([x for x, _ in owner], np.int64), [n for _, n in owner])
                 for k in range(0, len(of), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[k : k + 100_000])) for x in (both[:, 0], both[:, 1], rows[of], marks[of])] + [pa.array(x[k : k + 100_000], pa.int32()) for x in (at, size)], names=_CHUNKS.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[k : k + 100_000])) for x in (both[:, 0], both[:, 1], rows[of], marks[of])] + [pa.array(x[k : k + 100_000], pa.int32()) for x in (at, size)] + [pa.array(end[k : k + 100_000], pa.bool_())], names=_CHUNKS.names)
 
     return docs.select(F.col(row).alias("row"), F.hash(text).alias("mark"), F.col(text).alias("text")).mapInArrow(run, _CHUNKS)
 
@@ -106,17 +108,17 @@ def repeated_spans(docs: DataFrame, *, row: str = "doc_id", text: str = "text",
     every = chunks(held, "row", "text", **how)
     seen = every.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "mark", "at")).alias("first")).where("n > 1").drop("n")
     later = every.join(seen, ["a", "b"]).where("first.row != row or first.mark != mark or first.at != at")
-    spans = later.groupBy("row", "mark").agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("all"))
+    spans = later.groupBy("row", "mark").agg(F.array_sort(F.collect_set(F.struct("at", "size", "last"))).alias("all"))
     # adjacent copies become one run
     runs = F.aggregate(
         "all",
-        F.array().cast("array<struct<start:int,size:int,n:int>>"),
+        F.array().cast("array<struct<start:int,size:int,n:int,last:boolean>>"),
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["start"] + F.element_at(acc, -1)["size"] == x["at"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), (F.element_at(acc, -1)["size"] + x["size"]).alias("size"), (F.element_at(acc, -1)["n"] + 1).alias("n")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["at"].alias("start"), x["size"].alias("size"), F.lit(1).alias("n"))))),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), (F.element_at(acc, -1)["size"] + x["size"]).alias("size"), (F.element_at(acc, -1)["n"] + 1).alias("n"), x["last"].alias("last")))),
+        ).otherwise(F.concat(acc, F.array(F.struct(x["at"].alias("start"), x["size"].alias("size"), F.lit(1).alias("n"), x["last"].alias("last"))))),
     )
-    return spans.select("row", "mark", F.filter(runs, lambda x: x["size"] >= min_run).alias("spans")).where("size(spans) > 0")
+    return spans.select("row", "mark", F.transform(F.filter(runs, lambda x: (x["size"] >= min_run) | ((x["start"] == 0) & x["last"])), lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["n"].alias("n"))).alias("spans")).where("size(spans) > 0")
 
 
 def _without(batches, at: int, spans: int):

@@ -89,6 +89,21 @@ def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], TEXT)).count() == 0
 
 
+def test_short_copies_go(spark):
+    """Copies of whole texts under a chunk's size, and one copied chunk between texts of their own."""
+    rng = random.Random(11)
+    rows = [(0, "short"), (1, "short"), (2, "é" * 30), (3, "é" * 30), (4, "shorter")]
+    piece = next(c for c in (prose(rng, 60).encode() for _ in iter(int, 1)) if len(substring_dedup.chunk_ends(np.frombuffer(c, np.uint8))) > 4)
+    ends = substring_dedup.chunk_ends(np.frombuffer(piece, np.uint8))
+    # a chunk under 96 bytes, found by what comes just before its ends, in a text with another start and another end
+    k = next(k for k in range(1, len(ends) - 1) if 24 <= ends[k] - ends[k - 1] < 96)
+    chunk = piece[ends[k - 1] - 16 : ends[k]]
+    rows += [(5, piece.decode()), (6, "Q" * 40 + chunk.decode(errors="ignore") + "Z" * 30)]
+    got = {r[0]: r for r in substring_dedup.dedup(spark.createDataFrame(rows, TEXT)).collect()}
+    assert [got[i]["text"] for i in range(5)] == ["short", "", "é" * 30, "", "shorter"]
+    assert got[5]["spans"] is None and piece[ends[k - 1] : ends[k]].decode(errors="ignore") not in got[6]["text"] and got[6]["text"].startswith("Q" * 40) and got[6]["text"].endswith("Z" * 30)
+
+
 # --- lines
 
 
