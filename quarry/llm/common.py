@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
+import re
 import tempfile
 
 import numpy as np
@@ -12,8 +14,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that array code takes at a time; one longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that array code takes at a time; one longer text makes a slice of its own, hashed in blocks of as many.
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The frame, written to the shared checkpoint folder, so that nothing before it runs again.
 
-    The folder is the session's own (spark.checkpoint.dir). Only where that is unset, as in tests, a temporary one is set.
+    The folder is the session's own (spark.checkpoint.dir). Where that is unset, a temporary one is set on a local master, as
+    in tests; on a cluster it is an error, since executors don't share such a folder.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -85,13 +91,17 @@ _POWERS = _Powers()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2**64."""
-    if len(_POWERS.held[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            step = np.full(max(n, 1 << 16), base, np.uint64)
-            step[0] = 1
-            _POWERS.held[k] = np.multiply.accumulate(step)
-    return _POWERS.held[0][:n], _POWERS.held[1][:n]
+    """The first n powers of the hash base and of its inverse, modulo 2**64. Those of a slice are held, more are not."""
+    if len(_POWERS.held[0]) >= n:
+        return _POWERS.held[0][:n], _POWERS.held[1][:n]
+    both = []
+    for base in (_BASE, _INVERSE):
+        step = np.full(max(n, 1 << 16), base, np.uint64)
+        step[0] = 1
+        both.append(np.multiply.accumulate(step))
+    if n <= SLICE_BYTES + 1:
+        _POWERS.held = both
+    return both[0][:n], both[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,28 +117,56 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tu
     """64-bit hashes of the words of texts, with their byte spans and each text's first word.
 
     values: for each byte what it hashes as, 0 for a separator. Words don't run from one text into the next.
-    Returns hashes, starts, ends, and offsets into them (one more than texts).
+    Returns hashes, starts, ends, and offsets into them (one more than texts). What is longer than a slice is hashed in
+    blocks that end at a separator, so that only one word longer than that takes more memory than its own.
     """
-    v = values[data]
+    out, at = [], 0
+    while at < len(data) or not out:
+        stop = min(len(data), at + SLICE_BYTES)
+        while stop < len(data):
+            gap = np.flatnonzero(values[data[at:stop]] == 0)
+            if len(gap):
+                stop = at + int(gap[-1]) + 1
+                break
+            stop = min(len(data), at + 2 * (stop - at))
+        edge = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, stop)] - at
+        hashes, starts, ends = _block_hashes(values[data[at:stop]], edge)
+        out.append((hashes, starts + at, ends + at))
+        at = stop if stop > at else len(data)
+    hashes, starts, ends = out[0] if len(out) == 1 else (np.concatenate(x) for x in zip(*out, strict=True))
+    return hashes, starts, ends, np.searchsorted(starts, offsets, "left")
+
+
+def _block_hashes(v: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one block of byte values: hashes, starts and ends of its words. edge: where texts begin in it."""
     is_word = v > 0
-    before = np.empty(len(v) + 1, bool)
-    before[0] = before[-1] = False
-    before[1:] = is_word
-    first = is_word & ~before[:-1]
-    edge = offsets[:-1][(offsets[:-1] < len(v))]
-    edge = edge[is_word[edge]] if len(v) else edge
-    first[edge] = True
+    first = is_word.copy()
+    first[1:] &= ~is_word[:-1]
+    edge = edge[edge < len(v)]
+    first[edge[is_word[edge]]] = True
     starts = np.flatnonzero(first)
-    stop = before[1:].copy()
-    if len(v):
-        stop[:-1] &= ~is_word[1:] | first[1:]
+    stop = is_word.copy()
+    stop[:-1] &= ~is_word[1:] | first[1:]
     ends = np.flatnonzero(stop) + 1
     up, down = powers(len(v) + 1)
     total = np.empty(len(v) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(v.astype(np.uint64) * up[: len(v)], out=total[1:])
+    np.multiply(v, up[: len(v)], out=total[1:])
+    np.cumsum(total[1:], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, starts, ends, np.searchsorted(starts, offsets, "left")
+    return hashes, starts, ends
+
+
+def released(batches):
+    """The batches of a generator; at its end the worker, which lives on, gives back what it no longer holds."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
 
 
 def byte_values(separators: bytes, lower: bool = False) -> np.ndarray:
@@ -153,4 +191,4 @@ def no_rows(schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
 
 
-__all__ = ["DataFrame", "F", "SparkSession", "byte_values", "cut", "fresh", "mix", "no_rows", "opened", "parts", "powers", "share", "slices", "table", "utf8", "word_hashes"]
+__all__ = ["DataFrame", "F", "SparkSession", "byte_values", "cut", "fresh", "mix", "no_rows", "opened", "parts", "powers", "released", "share", "slices", "table", "utf8", "word_hashes"]

@@ -6,8 +6,9 @@ documents is one shard: its suffix array holds the suffixes that can match at al
 words, which has no false negatives, leaves the others out), sorted by their first `window` words, and every test suffix
 is found by binary search. Matching suffixes that follow each other on one diagonal make one longest verbatim match.
 
-Nothing is shuffled. The test set is passed in blocks of at most BLOCK_WORDS words, each a pass over the documents, so
-what a task holds is bounded however large the test set is.
+Nothing is shuffled. The test set is passed in blocks of at most BLOCK_WORDS words (or one longer item), each a pass over
+the documents. Between blocks the result is written to the shared checkpoint folder and the block's broadcast is dropped, so
+what a task, an executor and the driver hold is bounded however large the test set is.
 
 Defined results: null or wordless texts have no words and no matches; null or wordless items, and items without an id,
 match nothing; equal items are all reported; documents may repeat, each row is judged alone; other columns pass through.
@@ -16,7 +17,6 @@ match nothing; equal items are all reported; documents may repeat, each row is j
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import byte_values, fresh, mix, opened, share, slices, table, utf8, word_hashes
+from .common import byte_values, cut, fresh, mix, opened, released, share, slices, table, utf8, word_hashes
 
 WINDOW = 10
 #: Words of test items that one pass over the documents takes.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 #: Bytes of documents in one shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 _VALUES = byte_values(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]), lower=True)
 _VALUES[65:91] = _VALUES[97:123]
 _BITS = 22
@@ -59,40 +59,50 @@ class TestSet:
         for item_id, text in items:
             if item_id is not None and text:
                 ids.setdefault(text, []).append(item_id)
-        texts = list(ids)
-        data, offsets = utf8(pa.array(texts, pa.large_string()))
+        data, offsets = utf8(pa.array(list(ids), pa.large_string()))
         hashes, _, _, first = word_hashes(data, offsets, _VALUES)
-        rows, lengths, owner, place = [], [], [], []
-        for t in range(len(texts)):
-            w = hashes[first[t] : first[t + 1]]
-            n = min(len(w), window)
-            for k in range(len(w) - n + 1 if n else 0):
-                rows.append(np.concatenate([w[k : k + n], np.zeros(window - n, np.uint64)]))
-                lengths.append(n)
-                owner.append(t)
-                place.append(k)
-        self.count = len(rows)
-        if not rows:
+        size = np.diff(first)
+        # a window starts at each word with `window` words from it on; a shorter text's first word starts one
+        count = np.where(size >= window, size - window + 1, np.minimum(size, 1))
+        owner = np.repeat(np.arange(len(size)), count)
+        self.count = len(owner)
+        if not self.count:
             return
-        every = np.array(rows, np.uint64)
-        keyed = np.column_stack([np.array(lengths, np.uint64), every])
-        keyed, at, inverse = np.unique(keyed, axis=0, return_index=True, return_inverse=True)
-        self.lengths, self.rows = keyed[:, 0].astype(np.int64), np.ascontiguousarray(keyed[:, 1:])
-        self.place = np.array(place)[at]
-        self.main = [ids[texts[owner[i]]][0] for i in at]
-        owners: list[set[int]] = [set() for _ in range(len(keyed))]
-        for k, t in zip(inverse.ravel(), owner, strict=True):
-            owners[k].update(ids[texts[t]])
-        self.owners = [sorted(x) for x in owners]
+        place = np.arange(self.count) - np.repeat(np.cumsum(count) - count, count)
+        length = np.minimum(size, window)[owner]
+        padded = np.concatenate([hashes, np.zeros(window, np.uint64)])
+        rows = np.lib.stride_tricks.sliding_window_view(padded, window)[first[owner] + place]
+        rows = np.where(np.arange(window) < length[:, None], rows, np.uint64(0))
+        order = np.lexsort([*rows.T[::-1], length])
+        rows, length = rows[order], length[order]
+        new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1) | (length[1:] != length[:-1])])
+        at = np.flatnonzero(new)
+        self.lengths, self.rows = length[at].astype(np.int64), np.ascontiguousarray(rows[at])
+        #: Of each distinct window its places: of window w those from first[w] up to first[w + 1].
+        self.first = np.append(at, self.count)
+        self.owner, self.place = owner[order], place[order]
+        self.ids = list(ids.values())
         self.maps = {}
         for n in (1, 2, 3):
             own = self.rows[(self.lengths == n) if n < 3 else (self.lengths >= 3)]
             if len(own):
                 bits = np.zeros(1 << _BITS, bool)
-                for row in own:
-                    bits[_grams(row[:n], n) >> np.uint64(64 - _BITS)] = True
+                gram = np.zeros(len(own), np.uint64)
+                for k in range(n):
+                    gram = gram * np.uint64(0x100000001B3) + own[:, k]
+                bits[mix(gram) >> np.uint64(64 - _BITS)] = True
                 self.maps[n] = bits
 
+    def places(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of windows found: all their places, as indexes of which, texts and words."""
+        n = self.first[which + 1] - self.first[which]
+        of = np.repeat(np.arange(len(which)), n)
+        at = self.first[which][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        return of, self.owner[at], self.place[at]
+
+    def items(self, which: np.ndarray) -> set[int]:
+        return {i for t in np.unique(self.places(np.unique(which))[1]).tolist() for i in self.ids[t]}
+
     def find(self, words: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in the shard at which a window occurs, and which. last: for each word the end of its text."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -110,21 +120,26 @@ class TestSet:
         keys = np.where(inside, words[np.minimum(at, len(words) - 1)], np.uint64(0))
         order = np.lexsort(keys.T[::-1])
         array, keys = suffixes[order], keys[order]  # the shard's suffix array
-        low, high = self._search(keys, False), self._search(keys, True)
+        # windows whose first word begins no suffix here (a bitmap without false negatives) need no search
+        begun = np.zeros(1 << 16, bool)
+        begun[keys[:, 0] >> np.uint64(48)] = True
+        asked = np.flatnonzero(begun[self.rows[:, 0] >> np.uint64(48)])
+        low, high = self._search(keys, asked, False), self._search(keys, asked, True)
         n = high - low
-        which = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        found = array[low[which] + inner]
+        of = np.repeat(np.arange(len(n)), n)
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        found, which = array[low[of] + inner], asked[of]
         whole = found + self.lengths[which] <= last[found]
         return found[whole], which[whole]
 
-    def _search(self, keys: np.ndarray, right: bool) -> np.ndarray:
-        """For each test window the first suffix not below it (right: the first above), by binary search on its own length."""
-        low, high = np.zeros(len(self.rows), np.int64), np.full(len(self.rows), len(keys), np.int64)
-        cols = np.arange(self.window)[None, :] < self.lengths[:, None]
+    def _search(self, keys: np.ndarray, asked: np.ndarray, right: bool) -> np.ndarray:
+        """For each test window asked for the first suffix not below it (right: the first above), by binary search on its own length."""
+        rows = self.rows[asked]
+        low, high = np.zeros(len(rows), np.int64), np.full(len(rows), len(keys), np.int64)
+        cols = np.arange(self.window)[None, :] < self.lengths[asked][:, None]
         while (open_ := np.flatnonzero(low < high)).size:
             mid = (low[open_] + high[open_]) // 2
-            a, b = keys[mid], self.rows[open_]
+            a, b = keys[mid], rows[open_]
             differs = (a != b) & cols[open_]
             at = differs.argmax(axis=1)
             row = np.arange(len(mid))
@@ -160,15 +175,16 @@ def _spans(start: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
 
 def _matches(tests: TestSet, start: np.ndarray, which: np.ndarray) -> list[dict]:
     """Longest verbatim matches: windows on one diagonal of a document and an item, each a word after the last."""
-    out: dict[tuple, list[int]] = {}
-    for s, w in zip(start.tolist(), which.tolist(), strict=True):
-        key, n = (tests.main[w], s - int(tests.place[w])), int(tests.lengths[w])
-        runs = out.setdefault(key, [])
+    out: dict[tuple, list[list[int]]] = {}
+    for k, t, place in zip(*(x.tolist() for x in tests.places(which)), strict=True):
+        s, n = int(start[k]), int(tests.lengths[which[k]])
+        runs = out.setdefault((t, s - place), [])
         if runs and runs[-1][1] + 1 == s:
             runs[-1][1:] = [s, s + n - runs[-1][0]]
         else:
             runs.append([s, s, n])
-    return [{"item_id": i, "item_start": r[0] - d, "start": r[0], "length": r[2]} for (i, d), runs in sorted(out.items()) for r in runs]
+    found = sorted((i, r[0], r[0] - d, r[2]) for (t, d), runs in out.items() for i in tests.ids[t] for r in runs)
+    return [{"item_id": i, "item_start": at, "start": s, "length": n} for i, s, at, n in found]
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[int, str]]]:
@@ -188,14 +204,10 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
     sorted) and matches (longest verbatim matches with their places). The names get an underscore where docs has them."""
     names = [fresh(docs, n) for n in ("n_words", "spans", "items", "matches")]
     schema = StructType([*docs.schema.fields, StructField(names[0], LongType()), StructField(names[1], ArrayType(_SPAN)), StructField(names[2], ArrayType(LongType())), StructField(names[3], ArrayType(_MATCH))])
-    out, held = docs, len(docs.columns)
-    blocks = _blocks(benchmark, item, item_text, block_words)
-    for k, block in enumerate(chain([next(blocks, [])], blocks)):
-        tests, first = share(docs.sparkSession, TestSet(block, window)), k == 0
-        types = to_arrow_schema(schema)
-
-        def run(batches, tests=tests, first=first, types=types):
-            tests = opened(tests)
+    held, types = len(docs.columns), to_arrow_schema(schema)
+
+    def judged(first):
+        def run(batches, tests):
             for batch in batches:
                 new = [[], [], [], []]
                 earlier = None if first else [batch.column(held + c).to_pylist() for c in range(1, 4)]
@@ -203,7 +215,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
                     spans, items, matches = [], set(), []
                     if len(start):
                         spans = _spans(start, tests.lengths[which])
-                        items = set().union(*(tests.owners[w] for w in np.unique(which)))
+                        items = tests.items(which)
                         matches = _matches(tests, start, which)
                     if earlier:
                         both = sorted([*spans, *((x["start"], x["length"]) for x in earlier[0][t])])
@@ -213,22 +225,34 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:held], *(pa.array(x, types.field(held + c).type) for c, x in enumerate(new))], schema=pa.schema([*list(batch.schema)[:held], *list(types)[held:]]))
 
-        out = out.mapInArrow(run, schema)
-    return out
+        return run
+
+    return _passed(docs, _blocks(benchmark, item, item_text, block_words), window, lambda k: judged(k == 0), schema)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without a word in any occurrence of a test window; columns as they were."""
-    out = docs
-    for block in _blocks(benchmark, item, item_text, block_words):
+
+    def run(batches, tests):
+        for batch in batches:
+            yield batch.filter(pa.array([not len(start) for _, start, _ in _judge(tests, batch.column(batch.schema.names.index(text)))], pa.bool_()))
+
+    return _passed(docs, _blocks(benchmark, item, item_text, block_words), window, lambda k: run, docs.schema)
+
+
+def _passed(docs: DataFrame, blocks: Iterator[list[tuple[int, str]]], window: int, run, schema: StructType) -> DataFrame:
+    """The documents after one pass for each block (one for none). Before a further block the last one's result is written."""
+    out, block, k = docs, next(blocks, []), 0
+    while block is not None:
         tests = share(docs.sparkSession, TestSet(block, window))
 
-        def run(batches, tests=tests):
-            tests = opened(tests)
-            for batch in batches:
-                yield batch.filter(pa.array([not len(start) for _, start, _ in _judge(tests, batch.column(batch.schema.names.index(text)))], pa.bool_()))
+        def step(batches, run=run(k), tests=tests):
+            return released(run(batches, opened(tests)))
 
-        out = out.mapInArrow(run, docs.schema)
+        out, block, k = out.mapInArrow(step, schema), next(blocks, None), k + 1
+        if block is not None:
+            out = cut(out)
+            tests.destroy()
     return out
 
 
