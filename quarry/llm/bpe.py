@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import fresh, opened, share, table
+from .common import fresh, opened, released, share, table
 
 MAX_RANKS = 2_000_000
-#: Distinct words of one generation that a worker remembers, and the longest of them in characters.
-MEMO, MEMO_BYTES = 300_000, 64
+#: Distinct words of one generation that a worker remembers (about 200 bytes each), and the longest of them in characters.
+MEMO, MEMO_BYTES = 120_000, 64
 _NONE = 1 << 60
 
 
@@ -172,7 +172,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str
                 part = batch.slice(i, len(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(ids))], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], *, ids: str = "ids", name: str = "bytes") -> DataFrame:
@@ -217,7 +217,7 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, row: str
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[row].dataType.simpleString()
-    return docs.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(run, f"row {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids).withColumnRenamed("row", row)
+    return docs.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(lambda batches: released(run(batches)), f"row {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids).withColumnRenamed("row", row)
 
 
 # --- by higher-order functions

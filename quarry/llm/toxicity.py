@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import byte_values, cut, fresh, mix, opened, powers, share, slices, table, utf8, word_hashes
+from .common import byte_values, cut, fresh, mix, opened, powers, released, share, slices, table, utf8, word_hashes
 
 SAMPLE, FEATURES, PENALTY, RIDGE, STEPS = 6000, 2048, 1.0, 2e-4, 300
 #: Terms that name groups of people; each row is a set whose members may stand for each other.
@@ -112,7 +112,7 @@ def _sample(docs: DataFrame, labels: DataFrame, row: str, text: str, label: str,
             ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *held])))], names=["row", "toxic", "features"])
 
-    return texts.select("row", "text", "toxic").mapInArrow(run, "row long, toxic int, features array<long>").dropDuplicates(["row"])
+    return texts.select("row", "text", "toxic").mapInArrow(lambda batches: released(run(batches)), "row long, toxic int, features array<long>").dropDuplicates(["row"])
 
 
 def _ratio(a, b, n, m):
@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "sco
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column(batch.schema.names.index(text))))], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def held_out(row: str) -> F.Column:
