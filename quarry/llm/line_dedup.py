@@ -32,7 +32,7 @@ LEAST = 40
 
 def _rows(docs: DataFrame, row: str, text: str) -> DataFrame:
     """Of each text: row and mark (together its key), and text."""
-    return docs.select(F.coalesce(F.col(row).cast("long"), F.lit(-(1 << 63))).alias("row"), F.hash(text).alias("mark"), F.col(text).alias("text"))
+    return docs.select(F.coalesce(F.col(row).cast("long"), F.lit(-(1 << 63))).alias("row"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
 
 def stretches(docs: DataFrame, row: str, text: str, least: int) -> DataFrame:
@@ -106,7 +106,7 @@ def dedup(docs: DataFrame, *, row: str = "doc_id", text: str = "text", least: in
     lost = spans.select("row", "mark", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
     # a bit string would do for short texts; a sorted list of positions is bounded by the text's own length
     lost = lost.groupBy("row", "mark").agg(F.array_sort(F.collect_list("pos")).alias("lost")).toDF(a, b, c)
-    joined = docs.join(lost, (F.coalesce(docs[row].cast("long"), F.lit(-(1 << 63))) == lost[a]) & (F.hash(docs[text]) == lost[b]), "left")
+    joined = docs.join(lost, (F.coalesce(docs[row].cast("long"), F.lit(-(1 << 63))) == lost[a]) & (F.xxhash64(docs[text]) == lost[b]), "left")
     # one pass over the positions: lines before, between and after the deleted ones
     d = fresh(joined, "lines")
     joined, lines = joined.withColumn(d, F.split(F.col(text), "\n", -1)), F.col(d)
