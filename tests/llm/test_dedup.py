@@ -43,6 +43,77 @@ def test_chunks_cover_and_resist_shifts():
     assert b"".join(cut("é".encode() * 1000)).decode() and all(c.decode() for c in cut("é".encode() * 1000))
 
 
+def slow_cuts(raw):
+    """The cuts from the recurrence, byte by byte: bits 6 to 11 zero, 24 to 256 bytes, never inside a character."""
+    h, last, out = 0, 0, []
+    begins = lambda at: at == len(raw) or raw[at] & 0xC0 != 0x80
+    for at, byte in enumerate(raw[:-1], 1):
+        h = (2 * h + int(substring_dedup._GEAR[byte])) % (1 << 16)
+        while at - last > 256:
+            cut = last + 256
+            while not begins(cut):
+                cut -= 1
+            out.append(cut)
+            last = cut
+        if h & 0b111111000000 == 0 and at - last >= 24 and begins(at):
+            out.append(at)
+            last = at
+    while len(raw) - last > 256:
+        cut = last + 256
+        while not begins(cut):
+            cut -= 1
+        out.append(cut)
+        last = cut
+    return out + [len(raw)] * bool(raw)
+
+
+def test_cuts_equal_the_recurrence():
+    rng = random.Random(12)
+    for text in [prose(rng, n) for n in (0, 1, 9, 400, 3000)] + ["é" * 900, "a" * 700, "日本語" * 500 + prose(rng, 50), "\x00" * 300, "the the " * 300]:
+        raw = text.encode()
+        assert substring_dedup.chunk_ends(np.frombuffer(raw, np.uint8)) == slow_cuts(raw)
+
+
+def brute_flags(rows):
+    """has_repeats and within of each text, by comparing chunks of all texts."""
+    texts = sorted({((-(1 << 63) if i is None else i), t) for i, t in rows if t is not None})
+    cut = {k: [k[1].encode()[a:b] for a, b in zip([0, *slow_cuts(k[1].encode())], slow_cuts(k[1].encode()))] for k in texts}
+    holders = {}
+    for k, own in cut.items():
+        for c in own:
+            holders.setdefault(c, set()).add(k)
+    out = {}
+    for k, own in cut.items():
+        best = run = 0
+        for c in own:
+            run = run + len(c) if len(holders[c]) > 1 else 0
+            best = max(best, run)
+        out[k] = (bool(own) and (best >= 96 or best == len(k[1].encode())), len(set(own)) < len(own))
+    return out
+
+
+def test_flags_equal_brute_force(spark, tmp_path):
+    rng = random.Random(13)
+    shared = [prose(rng, 70) for _ in range(3)]
+    rows = [(i, " ".join([prose(rng, rng.randint(0, 80)), *([rng.choice(shared)] if i % 3 == 0 else []), prose(rng, rng.randint(0, 80))])) for i in range(40)]
+    own = prose(rng, 60)
+    rows += [(50, None), (51, ""), (52, rows[0][1]), (53, f"{own} {own}"), (54, "x" * 20000), (55, "tiny"), (56, "tiny"), (57, "lone"), (None, shared[1]), (52, rows[0][1]), (52, rows[9][1])]
+    spark.createDataFrame(rows, TEXT).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_flags(rows)
+    got = substring_dedup.query(spark, str(tmp_path)).select("doc_id", "has_repeats", "repeats_within").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((i, *(want[-(1 << 63) if i is None else i, t] if t is not None else (False, False)))) for i, t in rows)
+    assert sum(r[1] for r in got) > 15 and {r[0] for r in got if r[2]} == {53, 54}
+
+
+def test_query_flags_equal_brute_force_on_a_table(spark):
+    import duckdb
+
+    rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    want = brute_flags(rows)
+    got = {r[0]: (r[1], r[2]) for r in substring_dedup.query(spark, "/root/testdata/sf0.001").select("doc_id", "has_repeats", "repeats_within").collect()}
+    assert got == {i: want.get((i, t), (False, False)) for i, t in rows}
+
+
 def brute_substring(rows):
     first, out = {}, {}
     for key in sorted({((-(1 << 63) if i is None else i), t) for i, t in rows if t is not None}, key=lambda x: (x[0],)):
