@@ -1,7 +1,9 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
 A scanner makes a page into blocks: runs of text between block-level tags. Scripts, styles, comments, templates and form
-controls give no text. A block knows its ancestors (tags, with words of their classes, ids and roles) and its text. The
+controls give no text (a button inside a paragraph does, as formulas do). A block knows its ancestors (tags, with words of
+their classes, ids and roles) by one link to the innermost, which holds what features need of all: a page of any depth and
+any number of unmatched tags takes time in proportion to its length. The
 field's states are content and boilerplate; features of a block (its ancestors and shape) are weighted per state, and
 neighbouring states by a transition matrix. It is trained by maximum likelihood, on the driver, on TRAINING labelled pages
 made by a fixed generator of layouts (articles among menus, banners, adverts, notices, forms, sidebars, comment threads and
@@ -26,16 +28,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import fresh, opened, share, table
+from .common import fresh, opened, released, share, table
 
 TRAINING, DIMENSIONS, STEPS, RIDGE = 600, 1 << 14, 150, 1e-3
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("script style noscript template textarea select button svg iframe object canvas head math".split())
+SILENT = set("script style noscript template textarea select button svg iframe object canvas head annotation annotation-xml".split())
 RAW = set("script style textarea iframe noscript template".split())
 _CLOSES_P = BLOCK - {"option"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WALL = {"ul", "ol", "table", "dl", "menu", "select"}
+_SCOPE = _WALL | {"p", "div", "article", "section", "td"}
+#: Tags that features tell apart when they stand further out (others would be unknown to the training).
+_KNOWN = (BLOCK | SILENT | set("em strong code cite q time label small sup sub mark figure picture video audio math u s i b".split())) - {"html", "body", "div", "span", "b", "i", "a"}
 # Possessive: a tag with an unclosed quote falls to the last alternative at once, and counts as unreadable
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|</?[a-zA-Z][^>]*+(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -43,9 +48,47 @@ _PART = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """Of a page: text, ancestors (tags and what they are called, outermost first) and characters inside links, block by block."""
+#: Words in classes, ids and roles that say what an element is, by meaning.
+HINTS = {
+    "menu": "nav menu navbar breadcrumb breadcrumbs toc pagination pager tabs navigation",
+    "head": "header masthead banner topbar brand logo",
+    "foot": "footer copyright colophon legal imprint",
+    "side": "sidebar aside widget related recommended popular trending more archive tags",
+    "ad": "ad ads advert advertisement sponsor sponsored promo promoted adsense",
+    "note": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup toast paywall hidden dialog",
+    "form": "form search login register input",
+    "talk": "comment comments reply replies disqus discussion thread respond reviews",
+    "share": "share social follow twitter facebook buttons toolbar",
+    "main": "article content entry post story body text main page articlebody",
+}
+_HINT = {w: k for k, ws in HINTS.items() for w in ws.split()}
+_TAG_HINT = {"nav": "menu", "menu": "menu", "header": "head", "footer": "foot", "aside": "side", "form": "form", "dialog": "note", "article": "main", "main": "main"}
+
+
+class Node:
+    """An open element: its tag, and of it with all its ancestors what is asked of them."""
+
+    __slots__ = ("tag", "known", "hints", "inner", "n_blocks", "scope", "at")
+
+    def __init__(self, tag: str, names: list[str], above: Node | None, at: int):
+        self.tag, self.at = tag, at
+        self.known = above.known if above else frozenset()
+        if tag in _KNOWN and tag not in self.known:
+            self.known |= {tag}
+        own = {_HINT[x] for x in names if x in _HINT} | ({_TAG_HINT[tag]} if tag in _TAG_HINT else set())
+        self.hints = above.hints if above else frozenset()
+        if not own <= self.hints:
+            self.hints |= own
+        is_block = tag in BLOCK
+        self.inner = ((above.inner[-1:] if above else ()) + (tag,)) if is_block else above.inner if above else ()
+        self.n_blocks = (above.n_blocks if above else 0) + is_block
+        self.scope = self if tag in _SCOPE else above.scope if above else None
+
+
+def blocks(html: str) -> list[tuple[str, Node | None, int]]:
+    """Of a page: text, innermost element and characters inside links, block by block."""
     out, stack, pieces = [], [], []
+    opened_at: dict[str, list[int]] = {}  # where in the stack the open elements of each tag are
     silent = links = linked = 0
     at, n = 0, len(html)
 
@@ -54,17 +97,21 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
         if pieces:
             text = _SPACE.sub(" ", "".join(pieces)).strip()
             if text:
-                out.append((text, tuple(x for _, names in stack for x in names), linked))
+                out.append((text, stack[-1] if stack else None, linked))
             pieces.clear()
         linked = 0
 
     def pop(k):
         nonlocal silent, links
         while len(stack) > k:
-            tag, _ = stack.pop()
+            tag = stack.pop().tag
+            opened_at[tag].pop()
             silent -= tag in SILENT
             links -= tag == "a"
 
+    def last(tags):
+        return max((where[-1] for t in tags if (where := opened_at.get(t))), default=-1)
+
     while at < n:
         m = _TAG.search(html, at) if at < n else None
         end = m.start() if m else n
@@ -81,9 +128,10 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
             continue
         tag = tag.lower()
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if k >= 0 and (tag in BLOCK or not any(stack[i][0] in BLOCK for i in range(k + 1, len(stack)))):
-                if any(stack[i][0] in BLOCK for i in range(k, len(stack))):
+            k = last((tag,))
+            inside = stack[-1].n_blocks - stack[k].n_blocks if k >= 0 else 0  # block elements opened since
+            if k >= 0 and (tag in BLOCK or not inside):
+                if inside or tag in BLOCK:
                     flush()
                 pop(k)
             elif tag == "p":
@@ -94,31 +142,25 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
             continue
         if tag in BLOCK:
             flush()
-            if tag in _CLOSES_P:
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] in _WALL | {"div", "article", "section", "td"}), -1)
-                if k >= 0 and stack[k][0] == "p":
-                    pop(k)
-            if tag in _SAME:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in _WALL:
-                        break
-                    if stack[i][0] in _SAME[tag]:
-                        pop(i)
-                        break
-            if tag == "body" and any(t == "head" for t, _ in stack):
-                pop(next(i for i, (t, _) in enumerate(stack) if t == "head"))
+            if tag in _CLOSES_P and stack and stack[-1].scope and stack[-1].scope.tag == "p":
+                pop(stack[-1].scope.at)
+            if tag in _SAME and (k := last(_SAME[tag])) > last(_WALL):
+                pop(k)
+            if tag == "body" and opened_at.get("head"):
+                pop(opened_at["head"][0])
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
-        names, hidden = [tag], False
+        if tag == "button" and opened_at.get("p") and not opened_at.get("form"):
+            continue  # words of a paragraph
+        names = []
         for key, value in _ATTRIBUTE.findall(m[3]) if m[3] else ():
             key = key.lower()
             if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                hidden = True
+                names.append("hidden")
             elif key != "style":
-                names += [f".{x.lower()}" for x in _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value))]
-        if hidden:
-            names.append(".hidden")
-        stack.append((tag, names))
+                names += [x.lower() for x in _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value))]
+        opened_at.setdefault(tag, []).append(len(stack))
+        stack.append(Node(tag, names, stack[-1] if stack else None, len(stack)))
         silent += tag in SILENT
         links += tag == "a"
         if tag in RAW:
@@ -129,22 +171,6 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
     return out
 
 
-#: Words in classes, ids and roles that say what an element is, by meaning.
-HINTS = {
-    "menu": "nav menu navbar breadcrumb breadcrumbs toc pagination pager tabs navigation",
-    "head": "header masthead banner topbar brand logo",
-    "foot": "footer copyright colophon legal imprint",
-    "side": "sidebar aside widget related recommended popular trending more archive tags",
-    "ad": "ad ads advert advertisement sponsor sponsored promo promoted adsense",
-    "note": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup toast paywall hidden dialog",
-    "form": "form search login register input",
-    "talk": "comment comments reply replies disqus discussion thread respond reviews",
-    "share": "share social follow twitter facebook buttons toolbar",
-    "main": "article content entry post story body text main page articlebody",
-}
-_HINT = {w: k for k, ws in HINTS.items() for w in ws.split()}
-
-
 def _hash(name: str) -> int:
     h = 2166136261
     for c in name.encode():
@@ -152,26 +178,22 @@ def _hash(name: str) -> int:
     return (h ^ h >> 15) % DIMENSIONS
 
 
-def features(own: list[tuple[str, tuple[str, ...], int]], memo: dict) -> list[list[int]]:
+def features(own: list[tuple[str, Node | None, int]], memo: dict) -> list[list[int]]:
     """Hashed features of each block."""
     out = []
     n = len(own)
     for k, (text, above, linked) in enumerate(own):
-        held = memo.get(above)
+        key = (above.known, above.hints, above.inner) if above else (frozenset(), frozenset(), ())
+        held = memo.get(key)
         if held is None:
-            names = {"bias"}
-            tags = [x for x in above if x[0] != "."]
-            names.update("in " + t for t in tags if t not in ("html", "body", "div", "span", "b", "i", "a"))
-            hints = {_HINT[x[1:]] for x in above if x[0] == "." and x[1:] in _HINT}
-            hints |= {{"nav": "menu", "menu": "menu", "header": "head", "footer": "foot", "aside": "side", "form": "form", "dialog": "note", "article": "main", "main": "main"}.get(t, "") for t in tags} - {""}
-            names.update("hint " + h for h in hints)
+            known, hints, inner = key
+            names = {"bias"} | {"in " + t for t in known} | {"hint " + h for h in hints}
             names.add("hints " + " ".join(sorted(hints)))
-            inner = [t for t in tags if t in BLOCK]
             names.add("leaf " + (inner[-1] if inner else ""))
-            names.add("leaf " + " ".join(inner[-2:]))
-            held = memo[above] = [_hash(x) for x in sorted(names)]
-            if len(memo) > 100_000:
+            names.add("leaf " + " ".join(inner))
+            if len(memo) > 20_000:
                 memo.clear()
+            held = memo[key] = [_hash(x) for x in sorted(names)]
         words = text.count(" ") + 1
         size = min(6, words.bit_length())
         share_ = linked / max(1, len(text))
@@ -370,12 +392,12 @@ def extract(pages: DataFrame, field: Field | None = None, *, html: str = "html",
         field, memo = opened(shared), {}
         for batch in batches:
             column = batch.column(batch.schema.names.index(html))
-            for i in range(0, len(column), 500):
-                part = batch.slice(i, 500)
-                text = [main_text(x.as_py(), field, memo) for x in column[i : i + 500]]
+            for i in range(0, len(column), 100):
+                part = batch.slice(i, 100)
+                text = [main_text(x.as_py(), field, memo) for x in column[i : i + 100]]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], names=names)
 
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,23 @@ def test_html_query(spark):
         assert got[page] == "\n".join(x for x in parts if x)
 
 
+def test_html_time_grows_with_length_only():
+    import time
+
+    long = ["<div>x" * 100_000, "<div>" * 50_000 + "</b>x" * 50_000, "<span>" + "<div>" * 50_000 + "</span>x" * 50_000, "".join(f"<x{i}>y" for i in range(50_000)), "<li>" + "<b>" * 50_000 + "<li>x" * 50_000, "<p title='x>" * 50_000, "<p>" * 100_000]
+    for html in long:
+        began = time.process_time()
+        own = html_extract.blocks(html)
+        html_extract.features(own, {})
+        assert time.process_time() - began < 6, html[:30]  # seconds; the square would take minutes
+
+
+def test_html_formulas_and_buttons():
+    blocks = lambda x: [t for t, _, _ in html_extract.blocks(x)]
+    assert blocks("<p>Let <math><mi>x</mi><annotation>TeX</annotation></math> be</p>") == ["Let x be"]
+    assert blocks("<p>Press <button>Run</button> now</p><form><p>Find <button>Go</button></p></form><button>Top</button>") == ["Press Run now", "Find"]
+
+
 def test_html_edges(spark, field):
     page = lambda x: html_extract.main_text(x, field, {})
     assert page(None) == page("") == page("<script>var a = '<p>no</p>'</script>") == ""
