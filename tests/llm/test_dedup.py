@@ -325,6 +325,83 @@ def test_scattered_edits_down_to_the_threshold(spark):
     assert pairs_found(spark, [("a b c d e", "a b x d e"), ("a1 b1 c1 d1", "a1 b1 x1 d1"), ("p q", "p q"), ("z", "y")]) == [True, False, True, False]
 
 
+def edited(rng, words, edits, mark):
+    """A copy at exactly this edit distance: substitutions, deletions and insertions in equal measure, by words of its own."""
+    copy = list(words)
+    for k, at in enumerate(sorted(rng.sample(range(len(words)), edits), reverse=True)):
+        if k % 3 == 0:
+            copy[at] = f"{mark}x{at}"
+        elif k % 3 == 1:
+            del copy[at]
+        else:
+            copy.insert(at, f"{mark}y{at}")
+    return copy
+
+
+def test_recall_from_the_threshold_on(spark):
+    """Edit similarity 0.80 to 0.95 and texts from 3 to 400 words, the exact join for short texts included."""
+    rng = random.Random(14)
+    for percent, least in ((20, 0.95), (15, 0.98), (10, 1.0), (5, 1.0)):
+        pairs = []
+        for i in range(200):
+            words = [f"w{i}_{k}_{rng.randint(0, 10**6)}" for k in range(rng.choice((5, 12, 30, 60, 100, 200, 400)))]
+            copy = edited(rng, words, int(len(words) * percent / 100 * 0.98), f"new{i}")
+            assert near_dedup.similar(" ".join(words), " ".join(copy))
+            pairs.append((" ".join(words), " ".join(copy)))
+        assert np.mean(pairs_found(spark, pairs)) >= least, percent
+
+
+def test_classes_equal_all_pairs_of_a_table(spark):
+    """All pairs of the smallest table, by the plain alignment where lengths and words allow one."""
+    import duckdb
+    from collections import Counter
+
+    rows = duckdb.sql("select doc_id, coalesce(text, '') from '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    words = {i: near_dedup._words(t) for i, t in rows}
+    held = {i: Counter(w) for i, w in words.items()}
+    for n, (i, a) in enumerate(rows):
+        for j, b in rows[:n]:
+            x, y = words[i], words[j]
+            long = max(len(x), len(y))
+            if a == b or long and (held[i] & held[j]).total() >= long * 0.8 - 1e-9 and 1 - near_dedup.distance_within(x, y, long) / long >= 0.8:
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.query(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: find(i) for i, _ in rows} and len(set(got.values())) < len(got)
+
+
+def test_small_bags_never_exceed_the_distance():
+    for seed in range(300):
+        rng = random.Random(seed)
+        a = [rng.getrandbits(60) for _ in range(rng.randint(1, 90))]
+        b = [rng.getrandbits(60) if rng.random() < 0.3 else x for x in a][: rng.randint(1, 90)]
+        (x, y), least = near_dedup._signatures([near_dedup.signature(np.array(v, np.uint64), np.array(v[:20], np.uint64).astype(np.int32)) for v in (a, b)])
+        x, y = x.astype(int), y.astype(int)
+        assert max(np.maximum(x - y, 0).sum(), np.maximum(y - x, 0).sum()) <= table_distance(a, b)
+        assert sorted(np.array(a[:20], np.uint64).astype(np.int32))[: near_dedup.LEADERS] == [v for v in least[0] if v != 2**31 - 1]
+
+
+def test_pairs_with_leaders_come_once():
+    """With signatures every pair still comes, and one whose leaders meet comes once."""
+    rng = np.random.RandomState(5)
+    words = [rng.randint(0, 60, 20).astype(np.int32) for _ in range(40)]
+    rows = sorted((int(k), i % 7, i, 10, near_dedup.signature(np.arange(10, dtype=np.uint64), np.unique(w))) for i, w in enumerate(words) for k in np.unique(w))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["key", "label", "id", "n", "sign"])
+    got = [(a, b) for out in near_dedup._across([batch], 0.8) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if i % 7 != j % 7 and set(words[i]) & set(words[j])}
+    assert set(got) == want
+    least = [set(np.unique(w)[: near_dedup.LEADERS]) for w in words]
+    once = [p for p in want if least[p[0]] & least[p[1]]]
+    assert once and all(got.count(p) == 1 for p in once)
+
+
 def test_similar_texts_whose_buckets_have_other_hubs(spark):
     """All texts quote one passage of 120 words, so hubs are dissimilar to most members; every copy is found even so."""
     rng = random.Random(9)
