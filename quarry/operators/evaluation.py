@@ -22,14 +22,31 @@ def report(judged: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+#: Ranges that nearest_rank() deals the values of a group to.
+RANGES = 64
+
+
 def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
     """Percentiles by nearest rank: the value at place round(share * (n - 1)), half to even, of the sorted values.
 
-    Ranks come from a window over each group, so no group is collected into an array."""
-    w = Window.partitionBy(*by)
-    ranked = rows.where(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))
-    pick = lambda s: F.max(F.when(F.col("_i") == F.bround(F.lit(float(s)) * (F.col("_n") - 1)).cast("long"), F.col(value)))
-    return ranked.groupBy(*by).agg(*[pick(s).alias(k) for k, s in shares.items()], F.max(value).alias("max"), F.count(F.lit(1)).alias("n"))
+    Equal values are counted first. The rest is dealt to ranges whose bounds a sketch of each group estimates (they decide
+    who counts what, never the result): ranks within a range come from a window over it, those before it from the ranges'
+    totals, RANGES rows a group. So a group of any size is spread over many tasks."""
+    each = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    bounds = each.groupBy(*by).agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 1000).alias("_b"))
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in by]
+    both = each.alias("x").join(bounds.alias("y"), same) if by else each.alias("x").crossJoin(bounds.alias("y"))
+    dealt = both.select("x.*", F.size(F.filter("_b", lambda b: b < F.col(f"x.{value}"))).alias("_r"))
+    inside = Window.partitionBy(*by, "_r").orderBy(value)
+    ranked = dealt.withColumn("_upto", F.sum("_c").over(inside))
+    totals = dealt.groupBy(*by, "_r").agg(F.sum("_c").alias("_t"))
+    group = Window.partitionBy(*by)
+    totals = totals.withColumn("_n", F.sum("_t").over(group)).withColumn("_before", F.sum("_t").over(group.orderBy("_r")) - F.col("_t"))
+    again = [F.col(f"x.{k}").eqNullSafe(F.col(f"z.{k}")) for k in [*by, "_r"]]
+    placed = ranked.alias("x").join(totals.alias("z"), again).select("x.*", "_n", (F.col("_before") + F.col("_upto")).alias("_end"))
+    at = lambda s: F.bround(F.lit(float(s)) * (F.col("_n") - 1)).cast("long")
+    pick = lambda s: F.max(F.when((at(s) < F.col("_end")) & (at(s) >= F.col("_end") - F.col("_c")), F.col(value)))
+    return placed.groupBy(*by).agg(*[pick(s).alias(k) for k, s in shares.items()], F.max(value).alias("max"), F.sum("_c").alias("n"))
 
 
 def movement(before: Column, after: Column) -> Column:

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.text import ancestors_of, unit_of, url_segments
 
 # Node's own modules; those that exist with the node: prefix only; kinds that resolve to nothing by design.
-NODE = (
-    "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https inspector module net os path "
-    "perf_hooks process punycode querystring readline repl stream string_decoder sys timers tls trace_events tty url util v8 vm wasi worker_threads zlib"
-).split()
+NODE = [
+    "assert", "async_hooks", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram", "diagnostics_channel", "dns", "domain", "events", "fs", "http", "http2", "https", "inspector", "module", "net",
+    "os", "path", "perf_hooks", "process", "punycode", "querystring", "readline", "repl", "stream", "string_decoder", "sys", "timers", "tls", "trace_events", "tty", "url", "util", "v8", "vm", "wasi", "worker_threads", "zlib",
+]
 NODE_PREFIX_ONLY = ["test", "sqlite", "sea"]
 DECLINED_KINDS = ["using_static", "global_using_static"]
 JS = ["javascript", "typescript", "tsx"]
@@ -25,6 +25,11 @@ JS_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
 BARRELS = ["__init__.py", "index.ts", "index.tsx", "index.js", "index.jsx", "index.mjs", "index.cjs"]
 
 
+def is_barrel(path: Column | str) -> Column:
+    """Whether a file only hands on what others define: importers of it may mean any of them."""
+    return F.substring_index(F.col(path) if isinstance(path, str) else path, "/", -1).isin(BARRELS)
+
+
 def dependents(imports: DataFrame, files: DataFrame, declarations: DataFrame | None = None) -> DataFrame:
     """target_root, target_path, root_label, rel_path, language: importers by path, and by a namespace declared in the same unit."""
     own = imports.join(files.select("root_label", "rel_path", "language"), ["root_label", "rel_path"])
@@ -90,38 +95,40 @@ def longest_prefix(paths: DataFrame, roots: DataFrame, *, path: str = "rel_path"
     return paths.join(best, path, "left")
 
 
-def route_key(segments: Column) -> Column:
-    """First segment, if it is literal: routes are matched within it."""
-    return F.when((F.size(segments) > 0) & ~F.get(segments, F.lit(0)).startswith("{"), F.get(segments, F.lit(0))).otherwise("*")
-
+def _literals(segments: Column, n: Column) -> Column:
+    """Places, from 0, of the literal ones among the first n segments of a template."""
+    return F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i < n) & ~F.get(segments, i).startswith("{"))
 
-def _fits(called: Column, template: Column) -> Column:
-    catch = F.element_at(F.concat(F.array(F.lit("")), template), -1).startswith("{*")
-    n = F.when(catch, F.size(template) - 1).otherwise(F.size(template))
-    long = F.when(catch, F.size(called) >= n).otherwise(F.size(called) == n)
-    same = F.zip_with(F.slice(called, F.lit(1), n), F.slice(template, F.lit(1), n), lambda c, t: t.startswith("{") | (c == t))
-    return long & F.forall(same, lambda x: F.coalesce(x, F.lit(False)))
 
-
-def _prefix_fits(called: Column, template: Column) -> Column:
-    n = F.size(called)
-    same = F.zip_with(called, F.slice(template, F.lit(1), n), lambda c, t: t.startswith("{") | (c == t))
-    return (F.size(template) > n) & F.forall(same, lambda x: F.coalesce(x, F.lit(False)))
+def _at(segments: Column, places: Column) -> Column:
+    return F.array_join(F.transform(places, lambda i: F.get(segments, i)), "/")
 
 
 def match_routes(calls: DataFrame, declarations: DataFrame, *, call: str = "call_id", base: str | None = "api") -> DataFrame:
     """Calls (call_id, template, exact) with the one file whose route they fit (null if none or several).
 
     Exact calls fit segment by segment ({x} is any segment, {*x} the rest); others as a known beginning. A call that fits
-    nothing as written is tried again without the base path. Matched within the first literal segment, never all by all."""
+    nothing as written is tried again without the base path.
+
+    A template's shape is how many segments are compared and which of them are literal. Templates are entered under their
+    shape and literal segments; a call looks itself up once for each shape of its length, so a fit is an equi-join with no
+    pair that doesn't fit, however many routes begin alike."""
     routes = declarations.select(url_segments("template").alias("route"), F.col("rel_path").alias("target")).distinct()
-    routes = routes.withColumn("key", route_key(F.col("route")))
+    size = F.size("route")
+    catch = F.coalesce(F.get("route", size - 1).startswith("{*"), F.lit(False))
+    whole = routes.select("route", "target", F.when(catch, "rest").otherwise("all").alias("how"), F.when(catch, size - 1).otherwise(size).alias("n"))
+    begun = routes.where(size > 1).select("route", "target", F.lit("begin").alias("how"), F.explode(F.sequence(F.lit(1), size - 1)).alias("n"))
+    entered = whole.unionByName(begun).withColumn("places", F.when(F.col("n") == 0, F.array().cast("array<int>")).otherwise(_literals(F.col("route"), F.col("n"))))
+    entered = entered.select("target", "how", "n", "places", _at(F.col("route"), F.col("places")).alias("key"))
+    shapes = entered.select("how", "n", "places").distinct()
 
     def resolve(rows: DataFrame) -> DataFrame:
-        keyed = rows.withColumn("key", F.explode(F.array_distinct(F.array(F.coalesce(F.get("segments", F.lit(0)), F.lit("*")), F.lit("*")))))
-        fits = F.when(F.col("exact"), _fits(F.col("segments"), F.col("route"))).otherwise(_prefix_fits(F.col("segments"), F.col("route")))
-        found = keyed.join(routes, "key").where(fits).groupBy(call).agg(F.count_distinct("target").alias("n"), F.min("target").alias("target"))
-        return found.select(call, F.when(F.col("n") == 1, F.col("target")).alias("resolved_path"), F.lit(True).alias("hit"))
+        n = F.size("segments")
+        exact = F.concat(F.array(F.struct(F.lit("all").alias("how"), n.alias("n"))), F.transform(F.sequence(F.lit(0), n), lambda m: F.struct(F.lit("rest").alias("how"), m.alias("n"))))
+        asked = rows.withColumn("_s", F.explode(F.when(F.col("exact"), exact).otherwise(F.array(F.struct(F.lit("begin").alias("how"), n.alias("n")))))).select("*", "_s.*")
+        keyed = asked.join(shapes, ["how", "n"]).select(call, "how", "n", "places", _at(F.col("segments"), F.col("places")).alias("key"))
+        found = keyed.join(entered, ["how", "n", "places", "key"]).groupBy(call).agg(F.count_distinct("target").alias("hits"), F.min("target").alias("target"))
+        return found.select(call, F.when(F.col("hits") == 1, F.col("target")).alias("resolved_path"), F.lit(True).alias("hit"))
 
     own = calls.select(call, "exact", url_segments("template").alias("segments")).where(F.size("segments") > 0)
     first = resolve(own)

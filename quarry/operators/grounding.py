@@ -12,7 +12,7 @@ RATIONALE = (
 )
 AUTOGENERATED = r"(?i)^(merged pr \d+|merge branch|merge pull request|merge remote|squashed commit|automatic merge|revert \")"
 TICKET = r"(#\d{1,6}\b|\b[A-Z]{2,10}-\d{1,6}\b)"
-NO_PROJECT = "UTF SHA ISO RFC MD SHA256 AES RSA HTTP HTML CSS JSON XML SQL API URL URI UUID IPV TLS OAUTH JWT CVE PEP ES EC X".split()
+NO_PROJECT = ["UTF", "SHA", "ISO", "RFC", "MD", "SHA256", "AES", "RSA", "HTTP", "HTML", "CSS", "JSON", "XML", "SQL", "API", "URL", "URI", "UUID", "IPV", "TLS", "OAUTH", "JWT", "CVE", "PEP", "ES", "EC", "X"]
 MARKER = r"\b(WHY|DECISION|RATIONALE|DESIGN NOTE|HACK|ADR-\d+)\s*:"
 DENSE_PER_100, LEAST_COMMITS, LEAST_SHARE = 1.0, 20, 0.15
 STRENGTHS = ["ABSENT", "THIN", "PRESENT"]

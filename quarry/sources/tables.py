@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-class Table:
-    """A table whose versions are folders; the file _current names the one that counts, and is replaced by one rename.
+@cache
+def _local_folder(_: str) -> str:
+    return tempfile.mkdtemp(prefix="quarry-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. Where it is unset, a temporary one on a local master;
+    on a cluster that is an error."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not re.match(r"local($|\[)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _local_folder(sc.applicationId)
 
-    Readers see the old version or the new one. Any Hadoop file system will do."""
+
+class Table:
+    """A table whose versions are folders. Pointer files _at-N, each created once and never changed, name them; the complete
+    one of the highest N counts. Readers see the old version or the new one, also where a writer stops between any two steps;
+    of two writers that start from the same version one fails. Any Hadoop file system will do."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -19,17 +39,24 @@ class Table:
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self) -> tuple[str, str] | None:
-        at = self._path(f"{self.path}/_current")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
+    def _names(self, start: str) -> list[str]:
+        top = self._path(self.path)
+        if not self._fs.exists(top):
+            return []
+        return sorted(n for x in self._fs.listStatus(top) if (n := x.getPath().getName()).startswith(start))
+
+    def _pointer(self, name: str) -> tuple[str, str] | None:
+        """Version and token; None for a pointer that was not written to its end."""
+        stream = self._fs.open(self._path(f"{self.path}/{name}"))
         try:
-            line = stream.readLine()
+            line = stream.readAllBytes().decode()
         finally:
             stream.close()
-        version, _, token = line.partition(" ")
-        return version, token
+        version, _, token = line.rstrip("\n").partition(" ")
+        return (version, token) if line.endswith("\n") else None
+
+    def _current(self) -> tuple[str, str] | None:
+        return next((x for name in reversed(self._names("_at-")) if (x := self._pointer(name))), None)
 
     def exists(self) -> bool:
         return self._current() is not None
@@ -42,27 +69,30 @@ class Table:
 
     def replace(self, rows: DataFrame, *, token: str = "", by: list[str] = ()) -> None:
         """Writes a new version and makes it current. A token that the current version has is taken as done already."""
-        current = self._current()
+        names, current = self._names("_at-"), self._current()
         if token and current and current[1] == token:
             return
         version = f"v-{uuid.uuid4().hex}"
         writer = rows.write.partitionBy(*by) if by else rows.write
         writer.parquet(f"{self.path}/{version}")
-        aside = self._path(f"{self.path}/_next-{version}")
-        out = self._fs.create(aside)
-        out.writeBytes(f"{version} {token}\n")
+        self._point(f"_at-{int(names[-1][4:]) + 1 if names else 0:012d}", f"{version} {token}\n")
+
+    def _point(self, name: str, line: str) -> None:
+        out = self._fs.create(self._path(f"{self.path}/{name}"), False)  # fails if another writer has made it
+        out.writeBytes(line)
         out.close()
-        now = self._path(f"{self.path}/_current")
-        self._fs.delete(now, False)
-        self._fs.rename(aside, now)
 
     def vacuum(self) -> None:
-        """Removes versions that aren't current."""
+        """Removes versions that aren't current, and earlier pointers."""
         current = self._current()
-        for status in self._fs.listStatus(self._path(self.path)):
-            name = status.getPath().getName()
-            if name.startswith(("v-", "_next-")) and (current is None or name != current[0]):
-                self._fs.delete(status.getPath(), True)
+        for name in self._names("v-"):
+            if current is None or name != current[0]:
+                self._fs.delete(self._path(f"{self.path}/{name}"), True)
+        pointers = self._names("_at-")
+        last = next((n for n in reversed(pointers) if self._pointer(n)), None)
+        for name in pointers:
+            if last is not None and name < last:
+                self._fs.delete(self._path(f"{self.path}/{name}"), False)
 
     def append(self, rows: DataFrame) -> None:
         self.replace(self.read().unionByName(rows, allowMissingColumns=True) if self.exists() else rows)
