@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.vectors import cosine
+from ..sources.tables import Table
 
 RRF_K, PREFETCH, K1, B = 60, 50, 1.2, 0.75
 TOKEN = r"([\p{L}]+)"
 #: Query rows that are broadcast against the corpus at a time; more vectors go in blocks, one pass each (terms go by an equi-join).
 MAX_BROADCAST_QUERIES = 10_000
+#: Distinct query terms, counted, up to which they stand in the scan's filter; more are joined.
+LITERAL_TERMS = 5_000
 
 
 @dataclass(frozen=True)
@@ -59,23 +63,95 @@ def corpus_statistics(index: DataFrame) -> DataFrame:
     return index.groupBy("row").agg(F.first("doc_len").alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len"))
 
 
-def bm25(index: DataFrame, queries: DataFrame, *, query: str, text: str, allowed: DataFrame | None = None, digits: int = 6) -> DataFrame:
+class StoredIndex:
+    """Postings (term, row, tf, doc_len), document frequencies and statistics of a corpus as tables in a folder, built once.
+
+    Both tables are partitioned by a hash of the term and sorted by it, so a search reads its terms' buckets, whatever the
+    size of the corpus. A bucket with a hot term is dealt to several tasks and files."""
+
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.n, self.mean_len = tuple(spark.read.parquet(f"{path}/statistics").first())
+
+    @classmethod
+    def of(cls, docs: DataFrame, *, row: str, text: str, folder: str) -> StoredIndex:
+        """The index of a frame that reads files: stored under what files these are, and built if it isn't there yet."""
+        spark = docs.sparkSession
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        files = []
+        for name in sorted(docs.inputFiles()):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            status = path.getFileSystem(hadoop).getFileStatus(path)
+            files.append((name, status.getLen(), status.getModificationTime()))
+        table = Table(spark, f"{folder}/index-{sha256(repr((files, row, text)).encode()).hexdigest()[:32]}")
+        if not table.exists():
+            table.publish(lambda path: cls.build(docs, path, row=row, text=text))
+        return cls(spark, table.folder())
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, *, row: str, text: str) -> None:
+        spark, at = docs.sparkSession, F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).alias("bucket")
+        every = postings(docs, row=row, text=text).select("*", at)
+        every.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "row").write.partitionBy("bucket").parquet(f"{path}/postings")
+        held = spark.read.parquet(f"{path}/postings")
+        df = held.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+        df.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+        # every document's postings carry its length: count it once, at its share of each
+        once = held.agg(F.count_distinct("row").alias("n"), (F.sum(F.col("tf").cast("double"))).alias("words"))
+        once.select("n", (F.col("words") / F.col("n")).alias("mean_len")).coalesce(1).write.parquet(f"{path}/statistics")
+
+    def read(self, table: str, terms: DataFrame) -> DataFrame:
+        """The rows of these distinct terms (term)."""
+        own = self.spark.read.parquet(f"{self.path}/{table}")
+        keyed = terms.select("term", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).alias("bucket"))
+        few = keyed.limit(LITERAL_TERMS + 1).collect()  # a bounded number
+        if len(few) > LITERAL_TERMS:
+            return own.join(keyed, ["bucket", "term"], "left_semi").drop("bucket")
+        return own.where(F.col("bucket").isin(sorted({r[1] for r in few})) & F.col("term").isin([r[0] for r in few])).drop("bucket")
+
+
+def bm25(index: DataFrame | StoredIndex, queries: DataFrame, *, query: str, text: str, allowed: DataFrame | None = None, digits: int = 6) -> DataFrame:
     """query_id, row, score of every document that shares a term with a query. Statistics are the whole index's, also under a filter.
 
-    Only the queries' terms are read from the index: one equi-join with a small side, partial sums per document.
-    """
+    Only the queries' terms are read from the index; partial sums per document come before the shuffle."""
     terms = queries.select(F.col(query).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    names = terms.select("term").distinct()
+    if isinstance(index, StoredIndex):
+        wanted, df = index.read("postings", names), index.read("terms", names)
+        n, mean_len = F.lit(index.n), F.lit(index.mean_len)
+    else:
+        wanted = index.join(names, "term", "left_semi")
+        df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        n, mean_len = F.col("n"), F.col("mean_len")
     if allowed is not None:
         wanted = wanted.join(allowed.select(F.col(allowed.columns[0]).alias("row")), "row", "left_semi")
-    stats = F.broadcast(corpus_statistics(index))  # one row
-    scored = wanted.join(df, "term").crossJoin(stats)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("mean_len")))
+    scored = wanted.join(df, "term")
+    if not isinstance(index, StoredIndex):
+        scored = scored.crossJoin(F.broadcast(corpus_statistics(index)))  # one row
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / mean_len))
     return scored.select("term", "row", part.alias("part")).join(terms, "term").groupBy("query_id", "row").agg(F.round(F.sum("part"), digits).alias("score"))
 
 
+def quoted(index: StoredIndex, passages: DataFrame, docs: DataFrame, *, query: str, passage: str, row: str, text: str) -> DataFrame:
+    """query_id, row of the documents whose text holds a passage verbatim.
+
+    A document that does holds the passage's words that touch neither of its ends: it is found under the rarest of these in
+    the index and then read. Passages without such a word, counted, are looked for in every text, in blocks."""
+    own = passages.select(F.col(query).alias("query_id"), F.col(passage).alias("passage")).where("passage is not null")
+    words = tokens(F.col("passage"))
+    inner = own.select("query_id", F.explode(F.array_distinct(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))).alias("term"))
+    df = index.read("terms", inner.select("term").distinct())
+    rarest = inner.join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    found = index.read("postings", rarest.select("term").distinct()).join(rarest, "term").select("query_id", "row")
+    texts = docs.select(F.col(row).alias("row"), F.col(text).alias("_text"))
+    hits = found.join(own, "query_id").join(texts, "row").where(F.contains("_text", "passage")).select("query_id", "row")
+    bare = own.join(rarest, "query_id", "left_anti")
+    return hits if bare.isEmpty() else hits.unionByName(texts.crossJoin(bare).where(F.contains("_text", "passage")).select("query_id", "row"))
+
+
 def dense(vectors: DataFrame, queries: DataFrame, *, row: str, vector: str, query: str, query_vector: str, digits: int = 6) -> DataFrame:
     """query_id, row, score: cosine of every stored vector with each query.
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, text, vectors
 from ..operators import budget, evaluation, graph, grounding, ledger, retrieval
+from ..sources.tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,15 +35,15 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FILES = "files AS (SELECT doc_id, text, lang AS root_label, source AS unit, source || '/' || lang || '/doc_' || doc_id || '.md' AS rel_path FROM documents)"
-PASSAGES = "SELECT item_id, text FROM benchmark WHERE item_id < 5"
+PASSAGES = "SELECT item_id, text FROM benchmark WHERE item_id % 50 = 0"
 
 
-#: Which rows serve as search queries, by id: a session's five, every one divisible by 50, all.
-FIVE, BY_50, ALL = "{} < 5", "{} % 50 = 0", "{} IS NOT NULL"
+#: Which rows serve as search queries, by id: every one divisible by 50, or all.
+BY_50, ALL = "{} % 50 = 0", "{} IS NOT NULL"
 
 
-def passages(spark: SparkSession, sf: str, which: str = FIVE) -> DataFrame:
-    """Benchmark passages serve as the search queries of a session."""
+def passages(spark: SparkSession, sf: str, which: str = BY_50) -> DataFrame:
+    """Benchmark passages serve as search queries."""
     return t(spark, sf, "benchmark").where(which.format("item_id")).select(F.col("item_id").alias("query_id"), "text")
 
 
@@ -56,7 +56,7 @@ terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(t
 df AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
 bm25 AS (SELECT query_id, p.doc_id AS row, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))), 6) AS score
   FROM postings p JOIN terms USING (term) JOIN df USING (term) JOIN lens USING (doc_id), stats GROUP BY 1, 2)"""
-DENSE = """qv AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5),
+DENSE = """qv AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
 dense AS (SELECT query_id, vec_id AS row, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score FROM embeddings, qv)"""
 ALLOWED = "SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0"
 
@@ -66,10 +66,11 @@ def _allowed(spark, sf):
 
 
 def _index(spark, sf):
-    return retrieval.postings(t(spark, sf, "documents"), row="doc_id", text="text")
+    """The stored index of the documents: built when these files are first searched, read by term from then on."""
+    return retrieval.StoredIndex.of(t(spark, sf, "documents"), row="doc_id", text="text", folder=shared_folder(spark))
 
 
-def _query_vectors(spark, sf, which=FIVE):
+def _query_vectors(spark, sf, which=BY_50):
     return t(spark, sf, "embeddings").where(which.format("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
 
 
@@ -78,12 +79,12 @@ def _ranked(name: str, k: int, where: str = "") -> str:
 
 
 @query("bm25_topk", f"WITH {BM25} {_ranked('bm25', 10)}")
-def bm25_topk(spark, sf, which=FIVE):
+def bm25_topk(spark, sf, which=BY_50):
     return retrieval.top(retrieval.bm25(_index(spark, sf), passages(spark, sf, which), query="query_id", text="text"), 10)
 
 
 @query("bm25_topk_filtered", f"WITH {BM25} {_ranked('bm25', 10, f'WHERE row IN ({ALLOWED})')}")
-def bm25_topk_filtered(spark, sf, which=FIVE):
+def bm25_topk_filtered(spark, sf, which=BY_50):
     return retrieval.top(retrieval.bm25(_index(spark, sf), passages(spark, sf, which), query="query_id", text="text", allowed=_allowed(spark, sf)), 10)
 
 
@@ -95,12 +96,12 @@ def _dense(spark, sf, which, allowed=None):
 
 
 @query("dense_topk", f"WITH {DENSE} {_ranked('dense', 10)}")
-def dense_topk(spark, sf, which=FIVE):
+def dense_topk(spark, sf, which=BY_50):
     return retrieval.top(_dense(spark, sf, which), 10)
 
 
 @query("dense_topk_filtered", f"WITH {DENSE} {_ranked('dense', 10, f'WHERE row IN ({ALLOWED})')}")
-def dense_topk_filtered(spark, sf, which=FIVE):
+def dense_topk_filtered(spark, sf, which=BY_50):
     return retrieval.top(_dense(spark, sf, which, _allowed(spark, sf)), 10)
 
 
@@ -115,12 +116,12 @@ def _hybrid(spark, sf, which, allowed=None):
 
 
 @query("hybrid_rrf", _fused())
-def hybrid_rrf(spark, sf, which=FIVE):
+def hybrid_rrf(spark, sf, which=BY_50):
     return _hybrid(spark, sf, which)
 
 
 @query("hybrid_rrf_filtered", _fused(f"WHERE row IN ({ALLOWED})"))
-def hybrid_rrf_filtered(spark, sf, which=FIVE):
+def hybrid_rrf_filtered(spark, sf, which=BY_50):
     return _hybrid(spark, sf, which, _allowed(spark, sf))
 
 
@@ -131,7 +132,7 @@ def hybrid_rrf_filtered(spark, sf, which=FIVE):
   FROM hits h JOIN queries q ON q.item_id = h.query_id JOIN documents d ON d.doc_id = h.row)
 SELECT query_id, row, rank, round(rerank_score, 6) AS rerank_score, rerank_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rerank_rank FROM scored) WHERE rerank_rank <= 10""",
 )
-def rerank_lexical(spark, sf, which=FIVE):
+def rerank_lexical(spark, sf, which=BY_50):
     hits = retrieval.top(retrieval.bm25(_index(spark, sf), passages(spark, sf, which), query="query_id", text="text"), retrieval.PREFETCH)
     own = hits.join(passages(spark, sf, which).withColumnRenamed("text", "q"), "query_id").join(t(spark, sf, "documents").select(F.col("doc_id").alias("row"), "text"), "row")
     return retrieval.rerank(own, retrieval.lexical_score(F.col("q"), F.col("text")), n=10).select("query_id", "row", "rank", F.round("rerank_score", 6).alias("rerank_score"), "rerank_rank")
@@ -160,11 +161,11 @@ def filtered_count(spark, sf):
     return own.where(retrieval.Filters(equals={"lang": "en"}, exclude_doc_types=("1",)).column()).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("staleness_flag", "SELECT d.doc_id, (m.doc_id IS NULL OR NOT contains(m.text, substr(d.text, 1, 40))) AS stale FROM documents d LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0) m USING (doc_id)")
-def staleness_flag(spark, sf, whole=False):
+@query("staleness_flag", "SELECT d.doc_id, (m.doc_id IS NULL OR NOT contains(m.text, d.text)) AS stale FROM documents d LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0) m USING (doc_id)")
+def staleness_flag(spark, sf):
     docs = t(spark, sf, "documents")
     now = docs.where("doc_id % 7 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.reverse("text")).otherwise(F.col("text")).alias("text"))
-    return retrieval.flag_stale(docs.select("doc_id", (F.col("text") if whole else F.substring("text", 1, 40)).alias("source_text")), now, on=["doc_id"]).select("doc_id", "stale")
+    return retrieval.flag_stale(docs.select("doc_id", F.col("text").alias("source_text")), now, on=["doc_id"]).select("doc_id", "stale")
 
 
 # --- scalars, paths, identity
@@ -211,12 +212,12 @@ def url_segments(spark, sf):
 
 @query(
     "modal_density",
-    r"""WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS words, len(regexp_extract_all(text, '\b(The|And|Of)\b')) AS strong, len(regexp_extract_all(text, '(?i)\b(the|and|of|with)\b')) AS weak FROM documents WHERE lang = 'en')
+    r"""WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS words, len(regexp_extract_all(text, '\b(The|And|Of)\b')) AS strong, len(regexp_extract_all(text, '(?i)\b(the|and|of|with)\b')) AS weak FROM documents)
 SELECT doc_id, round(CASE WHEN words < 120 THEN 0 ELSE (strong * 4.0 + greatest(0, weak - strong)) * 1000.0 / words END, 6) AS density FROM w""",
 )
-def modal_density(spark, sf, whole=False):
+def modal_density(spark, sf):
     d = classify.modal_density("text", emphatic=r"\b(The|And|Of)\b", ordinary=r"(?i)\b(the|and|of|with)\b")
-    return t(spark, sf, "documents").where("true" if whole else "lang = 'en'").select("doc_id", F.round(d, 6).alias("density"))
+    return t(spark, sf, "documents").select("doc_id", F.round(d, 6).alias("density"))
 
 
 @query(
@@ -315,19 +316,17 @@ def _graph(spark, sf):
     return imports, orders
 
 
-@query("dependents_of", f"WITH {EDGES} SELECT DISTINCT 'p/' || resolved AS target_path, 'o/' || importer AS rel_path, o_orderpriority AS language FROM edges JOIN orders ON o_orderkey = importer WHERE resolved IS NOT NULL AND resolved <= 50")
-def dependents_of(spark, sf, whole=False):
+@query("dependents_of", f"WITH {EDGES} SELECT DISTINCT 'p/' || resolved AS target_path, 'o/' || importer AS rel_path, o_orderpriority AS language FROM edges JOIN orders ON o_orderkey = importer WHERE resolved IS NOT NULL")
+def dependents_of(spark, sf):
     imports, orders = _graph(spark, sf)
-    few = imports if whole else imports.where(F.substring_index("resolved_path", "/", -1).cast("int") <= 50)
-    return graph.dependents(few, orders).select("target_path", "rel_path", "language")
+    return graph.dependents(imports, orders).select("target_path", "rel_path", "language")
 
 
-@query("dependencies_of", f"WITH {EDGES} SELECT 'o/' || importer AS rel_path, 'p/' || target AS module, line, p_type AS target_type FROM edges LEFT JOIN part ON p_partkey = resolved WHERE importer <= 1000")
-def dependencies_of(spark, sf, whole=False):
+@query("dependencies_of", f"WITH {EDGES} SELECT 'o/' || importer AS rel_path, 'p/' || target AS module, line, p_type AS target_type FROM edges LEFT JOIN part ON p_partkey = resolved")
+def dependencies_of(spark, sf):
     imports, _ = _graph(spark, sf)
     parts = t(spark, sf, "part").select(F.lit("r").alias("root_label"), F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("rel_path"), F.col("p_type").alias("doc_type"))
-    own = imports if whole else imports.where(F.substring_index("rel_path", "/", -1).cast("int") <= 1000)
-    return graph.dependencies(own, parts).select("rel_path", "module", "line", "target_type")
+    return graph.dependencies(imports, parts).select("rel_path", "module", "line", "target_type")
 
 
 @query("importers_of", f"WITH {EDGES} SELECT importer, line FROM edges WHERE target = 7")
@@ -335,9 +334,9 @@ def importers_of(spark, sf):
     return _edges(spark, sf).where("target = 7").select("importer", "line").orderBy("importer", "line")
 
 
-@query("impact_by_type", f"WITH {EDGES} SELECT resolved AS target, o_orderpriority AS doc_type, count(*) AS n FROM (SELECT DISTINCT importer, resolved FROM edges WHERE resolved <= 20) JOIN orders ON o_orderkey = importer GROUP BY 1, 2")
-def impact_by_type(spark, sf, whole=False):
-    own = _edges(spark, sf).where("resolved is not null" if whole else "resolved <= 20").select("importer", F.col("resolved").alias("target")).distinct()
+@query("impact_by_type", f"WITH {EDGES} SELECT resolved AS target, o_orderpriority AS doc_type, count(*) AS n FROM (SELECT DISTINCT importer, resolved FROM edges WHERE resolved IS NOT NULL) JOIN orders ON o_orderkey = importer GROUP BY 1, 2")
+def impact_by_type(spark, sf):
+    own = _edges(spark, sf).where("resolved is not null").select("importer", F.col("resolved").alias("target")).distinct()
     return own.join(t(spark, sf, "orders").select(F.col("o_orderkey").alias("importer"), F.col("o_orderpriority").alias("doc_type")), "importer").groupBy("target", "doc_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -383,12 +382,12 @@ def longest_prefix_root(spark, sf):
     return graph.longest_prefix(files(spark, sf).select("rel_path"), roots)
 
 
-@query("declaration_overlap", """WITH c AS (SELECT o_custkey AS file, o_orderkey AS chunk, dayofyear(o_orderdate) AS a, dayofyear(o_orderdate) + 20 AS b FROM orders WHERE o_orderkey <= 4000), d AS (SELECT o_custkey AS file, o_orderkey AS decl, dayofyear(o_orderdate) - 5 AS a, dayofyear(o_orderdate) + o_orderkey % 30 AS b FROM orders)
+@query("declaration_overlap", """WITH c AS (SELECT o_custkey AS file, o_orderkey AS chunk, dayofyear(o_orderdate) AS a, dayofyear(o_orderdate) + 20 AS b FROM orders), d AS (SELECT o_custkey AS file, o_orderkey AS decl, dayofyear(o_orderdate) - 5 AS a, dayofyear(o_orderdate) + o_orderkey % 30 AS b FROM orders)
 SELECT chunk, decl FROM (SELECT chunk, decl, row_number() OVER (PARTITION BY chunk ORDER BY least(c.b, d.b) - greatest(c.a, d.a) DESC, d.b - d.a, decl) AS k FROM c JOIN d ON c.file = d.file AND c.a <= d.b AND d.a <= c.b) WHERE k = 1""")
-def declaration_overlap(spark, sf, whole=False):
+def declaration_overlap(spark, sf):
     day = F.dayofyear("o_orderdate")
     orders = t(spark, sf, "orders")
-    c = (orders if whole else orders.where("o_orderkey <= 4000")).select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("chunk"), day.alias("start"), (day + 20).alias("end"))
+    c = orders.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("chunk"), day.alias("start"), (day + 20).alias("end"))
     d = orders.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("decl"), (day - 5).alias("from"), (day + F.col("o_orderkey") % 30).alias("to"))
     both = c.join(d, "file").where("start <= to and from <= end")
     overlap = F.least("end", "to") - F.greatest("start", "from")
@@ -397,15 +396,16 @@ def declaration_overlap(spark, sf, whole=False):
 
 # --- evaluation
 
-TRUTH = "truth AS (SELECT item_id AS query_id, doc_id AS row FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE item_id < 5)"
+EVERY_BM25 = BM25.replace(PASSAGES, PASSAGES.replace("item_id % 50 = 0", "item_id IS NOT NULL"))
+TRUTH = "truth AS (SELECT item_id AS query_id, doc_id AS row FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-@query("recall_and_mrr", f"""WITH {BM25}, hits AS ({_ranked('bm25', 10)}), {TRUTH}, j AS (SELECT query_id, count(*) AS expected, count(rank) AS satisfied, min(rank) AS first_hit FROM truth LEFT JOIN hits USING (query_id, row) GROUP BY 1)
+@query("recall_and_mrr", f"""WITH {EVERY_BM25}, hits AS ({_ranked('bm25', 10)}), {TRUTH}, j AS (SELECT query_id, count(*) AS expected, count(rank) AS satisfied, min(rank) AS first_hit FROM truth LEFT JOIN hits USING (query_id, row) GROUP BY 1)
 SELECT count(*) AS cases, round(avg(satisfied / expected), 6) AS recall_at_k, round(avg(coalesce(1.0 / first_hit, 0)), 6) AS mrr_at_k, count(*) FILTER (satisfied < expected) AS misses FROM j""")
-def recall_and_mrr(spark, sf, which=FIVE):
-    hits = bm25_topk(spark, sf, which)
-    q = passages(spark, sf, which).withColumnRenamed("text", "passage")
-    truth = t(spark, sf, "documents").join(F.broadcast(q), F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("row"))  # a benchmark is small
+def recall_and_mrr(spark, sf):
+    items, docs, index = passages(spark, sf, ALL), t(spark, sf, "documents"), _index(spark, sf)
+    hits = retrieval.top(retrieval.bm25(index, items, query="query_id", text="text"), 10)
+    truth = retrieval.quoted(index, items, docs, query="query_id", passage="text", row="doc_id", text="text")
     return evaluation.report(evaluation.judge(truth, hits, case="query_id", expected="row"))
 
 
@@ -516,11 +516,10 @@ def hourly_tool_windows(spark, sf):
 # --- more of the graph and the ledger
 
 
-@query("namespace_targets", "WITH d AS (SELECT p_partkey, p_brand AS symbol FROM part WHERE p_partkey % 9 = 0) SELECT i.p_partkey AS importer, d.p_partkey AS target FROM part i JOIN d ON d.symbol = i.p_brand AND d.p_partkey % 4 = i.p_partkey % 4 WHERE i.p_partkey <= 60")
-def namespace_targets(spark, sf, whole=False):
+@query("namespace_targets", "WITH d AS (SELECT p_partkey, p_brand AS symbol FROM part) SELECT i.p_partkey AS importer, d.p_partkey AS target FROM part i JOIN d ON d.symbol = i.p_brand AND d.p_partkey % 4 = i.p_partkey % 4")
+def namespace_targets(spark, sf):
     part = t(spark, sf, "part").select(F.lit("r").alias("root_label"), F.concat(F.lit("u"), (F.col("p_partkey") % 4).cast("string"), F.lit("/"), F.col("p_partkey").cast("string")).alias("rel_path"), F.col("p_brand").alias("module"), "p_partkey")
-    importers, declared = (part, part) if whole else (part.where("p_partkey <= 60"), part.where("p_partkey % 9 = 0"))
-    found = graph.namespace_targets(importers.withColumnRenamed("p_partkey", "importer"), declared.withColumnRenamed("module", "symbol"))
+    found = graph.namespace_targets(part.withColumnRenamed("p_partkey", "importer"), part.withColumnRenamed("module", "symbol"))
     return found.select("importer", F.substring_index("target_path", "/", -1).cast("bigint").alias("target"))
 
 
@@ -552,9 +551,9 @@ def route_coverage(spark, sf):
     return graph.route_coverage(t(spark, sf, "lineitem").select(F.col("l_linestatus").alias("kind"), (F.col("l_linenumber") != 2).alias("exact"), F.expr("if(l_quantity > 10, l_partkey, null)").alias("resolved_path")))
 
 
-@query("route_callers", f"WITH {_CALLS} SELECT id, line, p_brand AS target_language FROM calls LEFT JOIN part ON p_partkey = resolved AND p_size > 10 WHERE id <= 800")
-def route_callers(spark, sf, whole=False):
-    calls = t(spark, sf, "lineitem").where("true" if whole else "l_orderkey <= 800").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.lit("r").alias("resolved_root"), F.expr("if(l_quantity > 10, l_partkey, null)").alias("resolved_path"))
+@query("route_callers", f"WITH {_CALLS} SELECT id, line, p_brand AS target_language FROM calls LEFT JOIN part ON p_partkey = resolved AND p_size > 10")
+def route_callers(spark, sf):
+    calls = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.lit("r").alias("resolved_root"), F.expr("if(l_quantity > 10, l_partkey, null)").alias("resolved_path"))
     targets = t(spark, sf, "part").where("p_size > 10").select(F.lit("r").alias("root_label"), F.col("p_partkey").alias("rel_path"), F.col("p_brand").alias("language"))
     return graph.route_callers(calls, targets).select("id", "line", "target_language")
 
@@ -584,41 +583,3 @@ def worktree_overlay(spark, sf):
 @query("files_by_unit", f"WITH {FILES} SELECT root_label, unit, list_sort(list(DISTINCT doc_id % 10)) AS shelves, count(*) AS files FROM files GROUP BY 1, 2")
 def files_by_unit(spark, sf):
     return files(spark, sf).groupBy("root_label", text.unit_of("rel_path").alias("unit")).agg(F.array_sort(F.collect_set(F.col("doc_id") % 10)).alias("shelves"), F.count(F.lit(1)).alias("files"))
-
-
-# --- the searches over the whole query sets, beside those of five queries: every id divisible by 50, all items for recall
-
-
-def _over(name: str, suffix: str, which: str) -> None:
-    """The search of that name with other query rows, and its SQL with them."""
-    sql = SQL[name]
-    for row in ("item_id", "vec_id"):
-        sql = sql.replace(f"{row} < 5", which.format(row))
-    query(f"{name}_{suffix}", sql)(partial(QUERIES[name], which=which))
-
-
-for _name in ("bm25_topk", "bm25_topk_filtered", "dense_topk", "dense_topk_filtered", "hybrid_rrf", "hybrid_rrf_filtered", "rerank_lexical"):
-    _over(_name, "by_50", BY_50)
-_over("recall_and_mrr", "all", ALL)
-
-
-# --- the same over the whole tables and texts, beside the subsets
-
-
-def _whole(name: str, *cuts: tuple[str, str]) -> None:
-    """The query of that name without its subset, and its SQL without the conditions that cut it."""
-    sql = SQL[name]
-    for cut, instead in cuts:
-        assert cut in sql, (name, cut)
-        sql = sql.replace(cut, instead)
-    query(f"{name}_whole", sql)(partial(QUERIES[name], whole=True))
-
-
-_whole("dependents_of", (" AND resolved <= 50", ""))
-_whole("dependencies_of", (" WHERE importer <= 1000", ""))
-_whole("impact_by_type", ("resolved <= 20", "resolved IS NOT NULL"))
-_whole("declaration_overlap", (" WHERE o_orderkey <= 4000", ""))
-_whole("namespace_targets", (" WHERE p_partkey % 9 = 0", ""), (" WHERE i.p_partkey <= 60", ""))
-_whole("route_callers", (" WHERE id <= 800", ""))
-_whole("staleness_flag", ("substr(d.text, 1, 40)", "d.text"))
-_whole("modal_density", (" WHERE lang = 'en'", ""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,14 +70,22 @@ class Table:
 
     def replace(self, rows: DataFrame, *, token: str = "", by: list[str] = ()) -> None:
         """Writes a new version and makes it current. A token that the current version has is taken as done already."""
+        self.publish(lambda folder: (rows.write.partitionBy(*by) if by else rows.write).parquet(folder), token=token)
+
+    def publish(self, write: Callable[[str], None], *, token: str = "") -> None:
+        """The same for what `write` puts into the new version's folder."""
         names, current = self._names("_at-"), self._current()
         if token and current and current[1] == token:
             return
         version = f"v-{uuid.uuid4().hex}"
-        writer = rows.write.partitionBy(*by) if by else rows.write
-        writer.parquet(f"{self.path}/{version}")
+        write(f"{self.path}/{version}")
         self._point(f"_at-{int(names[-1][4:]) + 1 if names else 0:012d}", f"{version} {token}\n")
 
+    def folder(self) -> str | None:
+        """Where the current version is."""
+        current = self._current()
+        return current and f"{self.path}/{current[0]}"
+
     def _point(self, name: str, line: str) -> None:
         out = self._fs.create(self._path(f"{self.path}/{name}"), False)  # fails if another writer has made it
         out.writeBytes(line)

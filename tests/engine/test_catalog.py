@@ -44,19 +44,19 @@ def test_query_equals_sql(spark, tables, name):
 
 def test_searches_run_every_query(spark, tables):
     every = {r[0] for r in tables.sql("select vec_id from embeddings where vec_id % 50 = 0").fetchall()}
-    assert len(every) > 1 and {r.query_id for r in catalog.QUERIES["dense_topk_by_50"](spark, SF).collect()} == every
+    assert len(every) > 1 and {r.query_id for r in catalog.QUERIES["dense_topk"](spark, SF).collect()} == every
     items = tables.sql("select count(distinct item_id) from benchmark b join documents d on contains(d.text, b.text)").fetchall()[0][0]
-    assert catalog.QUERIES["recall_and_mrr_all"](spark, SF).first()["cases"] == items
+    assert catalog.QUERIES["recall_and_mrr"](spark, SF).first()["cases"] == items
 
 
 def test_whole_tables_reach_the_operators(spark, tables):
     edges = "select distinct l_orderkey, l_partkey from lineitem where l_returnflag <> 'R'"
     for name, sql in (
-        ("dependents_of_whole", edges),
-        ("dependencies_of_whole", "from lineitem"),
-        ("route_callers_whole", "from lineitem"),
-        ("declaration_overlap_whole", "from orders"),
-        ("staleness_flag_whole", "from documents"),
-        ("modal_density_whole", "from documents"),
+        ("dependents_of", edges),
+        ("dependencies_of", "from lineitem"),
+        ("route_callers", "from lineitem"),
+        ("declaration_overlap", "from orders"),
+        ("staleness_flag", "from documents"),
+        ("modal_density", "from documents"),
     ):
         assert catalog.QUERIES[name](spark, SF).count() == len(tables.sql(sql).fetchall()), name
