@@ -296,6 +296,17 @@ def test_repeated_rows_and_shared_passages(spark):
     assert near_dedup.dedup(df).count() == 300
 
 
+def test_one_id_with_several_texts(spark):
+    """Only the text that is a copy goes, not the other one of its id; of equal rows one stays."""
+    rng = random.Random(15)
+    base, other, third = (prose(rng, 60) for _ in range(3))
+    rows = [(1, base), (5, base + " more"), (5, other), (5, other), (7, other + " and"), (8, third), (9, None), (9, ""), (None, "a"), (None, "a")]
+    df = spark.createDataFrame(rows, TEXT)
+    kept = sorted((r[0] or -1, r[1] or "") for r in near_dedup.dedup(df).collect())
+    assert kept == sorted([(1, base), (5, other), (8, third), (9, ""), (-1, "a"), (-1, "a")])
+    assert sorted(map(tuple, near_dedup.classes(df).distinct().collect())) == [(1, 1), (5, 1), (5, 5), (7, 5), (8, 8), (9, 9)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (200, 200), (300, 100)]
     for most in (10**6, 0):
