@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,40 +10,74 @@ from ..functions.text import ancestors_of, glob_regex, unit_of
 from ..operators.graph import longest_prefix
 
 
-def walk(spark: SparkSession, root: str, label: str, *, content: bool = False, max_bytes: int = 1 << 20) -> DataFrame:
-    """Every file below a folder: root_label, rel_path, size, mtime (and content). Version-control folders are pruned."""
-    visible = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    # Spark's listing leaves out names that begin with a dot or an underscore, and empty files; these are read by the driver
-    own = _hidden(spark, root, max_bytes)
-    found = visible.unionByName(spark.createDataFrame(own, visible.schema)) if own else visible
-    base = root.rstrip("/").split("://")[-1]
-    rel = F.expr("substring(path, locate(base, path) + length(base) + 1)")
-    out = found.withColumn("base", F.lit(base)).withColumn("rel_path", rel)
-    out = out.select(F.lit(label).alias("root_label"), "rel_path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), *(["content"] if content else []))
-    return out.where(~F.concat(F.lit("/"), F.col("rel_path")).rlike(r"/\.git/")).dropDuplicates(["rel_path"])
-
-
-def _hidden(spark: SparkSession, root: str, max_bytes: int) -> list[tuple]:
-    """Hidden and empty files as rows of the reader; larger ones than a file to be read may be come without content."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out, todo = [], [(top, False)]
-    while todo:
-        folder, inside = todo.pop()
-        for status in fs.listStatus(folder):
-            path = status.getPath()
-            hidden = inside or path.getName()[0] in "._"
-            if path.getName() == ".git":
-                continue
-            if status.isDirectory():
-                todo.append((path, hidden))
-            elif hidden or not status.getLen():
-                stream = fs.open(path) if status.getLen() <= max_bytes else None
-                out.append((path.toString(), datetime.fromtimestamp(status.getModificationTime() / 1000), status.getLen(), bytearray(stream.readAllBytes()) if stream else None))
-                if stream:
-                    stream.close()
-    return sorted(out, key=lambda x: x[0])
+_LISTED = "path string, is_dir boolean, size long, mtime timestamp, content binary"
+
+
+def _listing(root: str, content: bool, max_bytes: int):
+    """Lists directories (rows: path below the root) in tasks, so that nothing of the tree comes to the driver."""
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        types = pa.schema([("path", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64()), ("mtime", pa.timestamp("us", tz="UTC")), ("content", pa.binary())])
+        base = base.rstrip("/")
+        local = isinstance(store, fs.LocalFileSystem)
+        for batch in batches:
+            rows, held = [], 0
+            for folder in batch.column(0).to_pylist():
+                for x in store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"), allow_not_found=True)):
+                    rel = x.path[len(base) :].lstrip("/")
+                    is_dir = x.type == fs.FileType.Directory
+                    if local and os.path.islink(x.path) or is_dir and local and os.path.isfile(f"{x.path}/.git"):
+                        continue  # links and linked worktrees lead elsewhere
+                    body = None
+                    if content and not is_dir and x.size is not None and x.size <= max_bytes:
+                        with store.open_input_stream(x.path) as stream:
+                            body = stream.read()
+                    rows.append({"path": rel, "is_dir": is_dir, "size": None if is_dir else x.size, "mtime": x.mtime, "content": body})
+                    held += len(body or b"")
+                    if held > 8 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, schema=types)
+                        rows, held = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=types)
+
+    return run
+
+
+def walk(spark: SparkSession, root: str, label: str, *, content: bool = False, max_bytes: int = 1 << 20, prune: list[str] = ()) -> DataFrame:
+    """Every file below a folder, hidden and empty ones too: root_label, rel_path, size, mtime (and content up to max_bytes).
+
+    Level by level, each directory listed in a task; .git, links, linked worktrees and directories that a glob of `prune`
+    fits are not entered. A folder that isn't there gives no rows (observable() tells it from an empty one)."""
+    level = spark.createDataFrame([("",)], "path string")
+    levels = []
+    while True:
+        found = level.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_listing(root, content, max_bytes), _LISTED).persist()
+        levels.append(found.where("not is_dir"))
+        into = found.where(F.col("is_dir") & (F.substring_index("path", "/", -1) != ".git"))
+        for pattern in prune:
+            into = into.where(~F.concat(F.lit("/"), F.col("path"), F.lit("/")).rlike(glob_regex(pattern)))
+        level = into.select("path")
+        if level.isEmpty():
+            break
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    return out.select(F.lit(label).alias("root_label"), F.col("path").alias("rel_path"), "size", "mtime", *(["content"] if content else []))
+
+
+def observable(spark: SparkSession, roots: dict[str, str]) -> dict[str, bool]:
+    """For each label whether its folder is there: files of one that isn't are unseen, not gone."""
+    out = {}
+    for label, root in roots.items():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        out[label] = fs.exists(path) and fs.getFileStatus(path).isDirectory()
+    return out
 
 
 def candidates(files: DataFrame, *, max_bytes: int = 1 << 20, excluded: list[str] = ()) -> DataFrame:
