@@ -79,6 +79,13 @@ def context_header(repo, branch, path, language=None, doc_type=None, kind=None,
     return F.concat_ws("\n", where, line("file", _c(path)), line("language", _c(language) if language is not None else None), line("type", _c(doc_type) if doc_type is not None else None), symbols)
 
 
+def header_token_cost(repo, branch, path, language=None, doc_type=None, kind: str = "code") -> Column:
+    """Tokens to keep free for a header, by the longest symbol that is to be expected."""
+    # Fixed value: the symbol that stands for a long one.
+    probe = context_header(repo, branch, path, language, doc_type, F.lit("function"), F.lit("Some.Reasonably.Long.Symbol.Path"))
+    return estimate_tokens(probe, kind)
+
+
 def header_of(embedded, source) -> Column:
     """What was put before a source text: the embedded text without it and without the newlines between."""
     e, s = _c(embedded), _c(source)

@@ -26,6 +26,12 @@ def pack_locations(hits: DataFrame, *, group: str, rank: str, cost: str, budget:
     return hits.withColumn("spent", F.sum(cost).over(w).cast("long")).where((F.col(rank) == 1) | (F.col("spent") <= budget))
 
 
+def anchor_tokens(hits: DataFrame):
+    """What a hit costs without its text: a third of the characters of its place as JSON."""
+    place = [c for c in ("chunk_id", "root_label", "rel_path", "start_line", "end_line", "symbol_path", "doc_type") if c in hits.columns]
+    return F.floor(F.length(F.to_json(F.struct(*place))) / 3).cast("int")
+
+
 def clip_hits(packed: DataFrame, text: str, notice: str = "\n… truncated") -> DataFrame:
     return packed.withColumn(text, F.when(F.col("truncated"), F.concat(clip(text, "granted"), F.lit(notice))).otherwise(F.col(text)))
 

@@ -79,6 +79,12 @@ def copy_space(rows: DataFrame, slug: str, new: str) -> DataFrame:
     return rows.where(F.col("space_slug") == slug).withColumn("space_slug", F.lit(new))
 
 
+def forget_space(rows: DataFrame, slug: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of other spaces, and one row that counts those of this one."""
+    gone = F.coalesce(F.col("space_slug") == F.lit(slug), F.lit(False))
+    return rows.where(~gone), rows.agg(F.count_if(gone).alias("forgotten"))
+
+
 def with_cached(rows: DataFrame, cache: DataFrame, version: int, computed: Column) -> DataFrame:
     """The recorded class of a content under the present classifier, else the computed one."""
     own = cache.where(F.col("classifier_version") == version).select("sha256", F.col("doc_type").alias("_held")).dropDuplicates(["sha256"])
