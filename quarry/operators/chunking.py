@@ -151,6 +151,20 @@ def text_chunks(text: str, *, budget: int = TEXT_TOKENS, overlap: int = OVERLAP,
     return [_row(f, b, i, len(groups), budget, degraded=degraded) for i, b in enumerate(groups)]
 
 
+def line_chunks(text: str, *, budget: int = TEXT_TOKENS, kind: str = "text") -> list[dict]:
+    """A text cut between lines wherever the budget's bytes are full; blank parts go."""
+    f = _File(text, kind)
+    parts = f.divide(Block(1, len(f.lines)), budget) if f.lines else []
+    return [_row(f, b, i, len(parts), budget) for i, b in enumerate(parts)]
+
+
+def packed_paragraphs(text: str, *, budget: int = TEXT_TOKENS, overlap: int = 0, kind: str = "text") -> list[dict]:
+    """Paragraphs that stay whole, packed into the budget."""
+    f = _File(text, kind)
+    groups = f.pack([Block(b.first, b.last, True) for b in f.blocks(1, len(f.lines))], budget, overlap)
+    return [_row(f, b, i, len(groups), budget) for i, b in enumerate(groups)]
+
+
 def sections(f: _File, depth: int = MARKDOWN_DEPTH) -> list[tuple[list[str], Block]]:
     """Heading trail and lines of each section that has text; headings in fences are text."""
     fenced = {n for b in f.fences(1, len(f.lines)) for n in range(b.first, b.last + 1)}
@@ -228,6 +242,63 @@ def default_chunker(kind: str, language: str | None, text: str) -> list[dict]:
     return text_chunks(text, language=language) if kind in ("text", "pdf") else []
 
 
+_ENDS = {"python": re.compile(r"^\S"), "javascript": re.compile(r"^\}"), "csharp": re.compile(r"^\}"), "powershell": re.compile(r"^\}"), "go": re.compile(r"^\}"), "bicep": re.compile(r"^\}")}
+_ENDS |= {"typescript": _ENDS["javascript"], "tsx": _ENDS["javascript"]}
+
+
+def declarations_of(text: str, language: str | None) -> list[tuple[str, int, int]]:
+    """Name and lines of each top-level definition: to the line that closes it, or before the next one that isn't indented."""
+    rule, end = _DEFINITION.get(language or ""), _ENDS.get(language or "")
+    lines = lines_of(text)
+    out = []
+    for n, line in enumerate(lines, 1):
+        m = rule.match(line) if rule else None
+        if not m:
+            continue
+        last = n
+        for k in range(n + 1, len(lines) + 1):
+            here = lines[k - 1]
+            if language == "python":
+                if end.match(here):
+                    break
+                last = k if here.strip() else last
+            elif "{" not in line or line.count("{") == line.count("}"):
+                break
+            elif end.match(here):
+                last = k
+                break
+        out.append((next(x for x in m.groups() if x), n, last))
+    return out
+
+
+def declarations(files: DataFrame, *, keys: list[str], language: str = "language", text: str = "text") -> DataFrame:
+    """name, start_line, end_line of the definitions of each file, with its keys."""
+    own = files.select(*keys, language, text)
+    schema = StructType([*own.select(*keys).schema.fields, StructField("name", StringType()), StructField("start_line", IntegerType()), StructField("end_line", IntegerType())])
+    types = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            rows = [dict(zip(types.names, (*key, *found), strict=True)) for *key, lang, body in zip(*(c.to_pylist() for c in batch.columns), strict=True) for found in declarations_of(body or "", lang)]
+            yield pa.RecordBatch.from_pylist(rows, schema=types)
+
+    return own.mapInArrow(run, schema)
+
+
+def chunk_pages(files: DataFrame, *, keys: list[str], pages: str = "pages") -> DataFrame:
+    """A row per chunk of documents whose pages come extracted."""
+    own = files.select(*keys, pages)
+    schema = StructType([*own.select(*keys).schema.fields, *CHUNK_FIELDS])
+    types = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            rows = [dict(zip(types.names[: len(keys)], key, strict=True)) | x for *key, own_pages in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in page_chunks(own_pages or [])]
+            yield pa.RecordBatch.from_pylist(rows, schema=types)
+
+    return own.mapInArrow(run, schema)
+
+
 def chunk(files: DataFrame, *, keys: list[str], kind: str = "kind", language: str = "language", text: str = "text", chunker: Callable[[str, str | None, str], list[dict]] = default_chunker) -> DataFrame:
     """A row per chunk with the file's keys. Null and empty texts have none."""
     own = files.select(*keys, kind, language, text)

@@ -59,6 +59,14 @@ def by_suffix(edges: DataFrame, files: DataFrame, *, edge: str = "edge_id") -> D
     return found.where("n = 1").select(edge, "resolved_path")
 
 
+def declaration_overlap(chunks: DataFrame, declarations: DataFrame, *, by: list[str], chunk: str, declaration: str) -> DataFrame:
+    """Each chunk (start_line, end_line) with the declaration of its file that shares most lines with it, the narrower of equals."""
+    d = declarations.select(*by, F.col(declaration).alias("_d"), F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
+    both = chunks.join(d, by).where((F.col("start_line") <= F.col("_b")) & (F.col("_a") <= F.col("end_line")))
+    shared = F.least("end_line", "_b") - F.greatest("start_line", "_a")
+    return both.groupBy(chunk).agg(F.max_by("_d", F.struct(shared, F.col("_a") - F.col("_b"), -F.col("_d"))).alias(declaration))
+
+
 def normalised(path: Column) -> Column:
     """A path without . and .. segments; null if it leaves the root."""
     keep = F.aggregate(

@@ -230,13 +230,6 @@ def doc_type_rules(spark, sf):
     return own.select("doc_id", classify.document_type("path", "text", F.lit("markdown"))["doc_type"].alias("doc_type"))
 
 
-@query("secret_withheld", r"""SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(token|password|passwd|secret|api[_-]?key)\b\s*[:=]\s*["''][^"''\s]{20,}["'']')) AS findings FROM documents WHERE regexp_matches(text, '(?i)\b(token|password|passwd|secret|api[_-]?key)\b\s*[:=]\s*["''][^"''\s]{20,}["'']')""")
-def secret_withheld(spark, sf):
-    from ..functions.secrets import ASSIGNED
-
-    return t(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(ASSIGNED)).cast("long").alias("findings")).where("findings > 0")
-
-
 # --- ledger
 
 LEDGER = """stat AS (SELECT o_orderkey AS id, o_custkey AS size, epoch_us(o_orderdate) AS mtime, 1 AS chunker_version FROM orders),
@@ -284,23 +277,12 @@ def mass_delete_brake(spark, sf):
     return ledger.deletion_brake(own, own.where("unit in ('src1', 'src2') or root_label = 'es' and doc_id % 3 <> 0"), "root_label")
 
 
-@query("upsert_latest", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
-def upsert_latest(spark, sf):
-    events = t(spark, sf, "events").select("user_id", "event_id", "event_type")
-    return ledger.upsert(events.where("event_id < 0"), events, ["user_id"], order="event_id")
-
-
 @query("space_completion", "SELECT p_partkey, count(l_partkey) AS chunk_count FROM part LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48) ON l_partkey = p_partkey GROUP BY 1")
 def space_completion(spark, sf):
     chunks = t(spark, sf, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
     return ledger.complete_spaces(t(spark, sf, "part"), chunks, ["p_partkey"])
 
 
-@query("counts_by_root", "SELECT lang AS root_label, count(*) AS files, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY 1")
-def counts_by_root(spark, sf):
-    return t(spark, sf, "documents").groupBy(F.col("lang").alias("root_label")).agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("n_chars"))
-
-
 # --- graph: line items are imports of parts by orders
 
 EDGES = "edges AS (SELECT l_orderkey AS importer, l_partkey AS target, l_linenumber AS line, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_partkey END AS resolved, l_linestatus AS kind FROM lineitem)"
@@ -329,17 +311,6 @@ def dependencies_of(spark, sf):
     return graph.dependencies(imports, parts).select("rel_path", "module", "line", "target_type")
 
 
-@query("importers_of", f"WITH {EDGES} SELECT importer, line FROM edges WHERE target = 7")
-def importers_of(spark, sf):
-    return _edges(spark, sf).where("target = 7").select("importer", "line").orderBy("importer", "line")
-
-
-@query("impact_by_type", f"WITH {EDGES} SELECT resolved AS target, o_orderpriority AS doc_type, count(*) AS n FROM (SELECT DISTINCT importer, resolved FROM edges WHERE resolved IS NOT NULL) JOIN orders ON o_orderkey = importer GROUP BY 1, 2")
-def impact_by_type(spark, sf):
-    own = _edges(spark, sf).where("resolved is not null").select("importer", F.col("resolved").alias("target")).distinct()
-    return own.join(t(spark, sf, "orders").select(F.col("o_orderkey").alias("importer"), F.col("o_orderpriority").alias("doc_type")), "importer").groupBy("target", "doc_type").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("kept_dependents", f"WITH {EDGES} SELECT importer, doc_type FROM (SELECT DISTINCT importer, CASE o_orderstatus WHEN 'O' THEN 'implementation' WHEN 'F' THEN 'test' ELSE 'generated' END AS doc_type FROM edges JOIN orders ON o_orderkey = importer WHERE resolved = 3) ORDER BY CASE doc_type WHEN 'implementation' THEN 0 WHEN 'test' THEN 1 ELSE 4 END, importer LIMIT 10")
 def kept_dependents(spark, sf):
     own = _edges(spark, sf).where("resolved = 3").join(t(spark, sf, "orders"), F.col("importer") == F.col("o_orderkey"))
@@ -387,11 +358,9 @@ SELECT chunk, decl FROM (SELECT chunk, decl, row_number() OVER (PARTITION BY chu
 def declaration_overlap(spark, sf):
     day = F.dayofyear("o_orderdate")
     orders = t(spark, sf, "orders")
-    c = orders.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("chunk"), day.alias("start"), (day + 20).alias("end"))
-    d = orders.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("decl"), (day - 5).alias("from"), (day + F.col("o_orderkey") % 30).alias("to"))
-    both = c.join(d, "file").where("start <= to and from <= end")
-    overlap = F.least("end", "to") - F.greatest("start", "from")
-    return both.groupBy("chunk").agg(F.max_by("decl", F.struct(overlap, F.col("from") - F.col("to"), -F.col("decl"))).alias("decl"))
+    c = orders.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("chunk"), day.alias("start_line"), (day + 20).alias("end_line"))
+    d = orders.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("decl"), (day - 5).alias("start_line"), (day + F.col("o_orderkey") % 30).alias("end_line"))
+    return graph.declaration_overlap(c, d, by=["file"], chunk="chunk", declaration="decl")
 
 
 # --- evaluation
@@ -441,17 +410,6 @@ def disappointing_calls(spark, sf):
     return ledger.disappointing(own, "returned", "dropped").select("event_id", "user_id")
 
 
-@query("recent_runs", "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
-def recent_runs(spark, sf):
-    return t(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "ts", "event_type")
-
-
-@query("rationale_signals", r"""SELECT role, count(*) AS commits, count(*) FILTER (NOT regexp_matches(text, '^(In|The) ') AND regexp_matches(text, '\b(the|und|est)\b')) AS with_rationale, count(*) FILTER (regexp_matches(text, '^(In|The) ')) AS autogenerated FROM conversations GROUP BY 1""")
-def rationale_signals(spark, sf):
-    own = t(spark, sf, "conversations").withColumn("auto", F.col("text").rlike("^(In|The) "))
-    return own.groupBy("role").agg(F.count(F.lit(1)).alias("commits"), F.count_if(~F.col("auto") & F.col("text").rlike(r"\b(the|und|est)\b")).alias("with_rationale"), F.count_if("auto").alias("autogenerated"))
-
-
 @query("grounding_strength", "WITH g AS (SELECT source, count(*) AS n, count(*) FILTER (lang = 'de') AS found FROM documents GROUP BY 1) SELECT source, CASE WHEN found = 0 THEN 'ABSENT' WHEN n >= 20 AND found / n >= 0.15 THEN 'PRESENT' ELSE 'THIN' END AS strength FROM g")
 def grounding_strength(spark, sf):
     g = t(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang") == "de").alias("found"))
@@ -491,11 +449,6 @@ def int8_quantise(spark, sf):
     return t(spark, sf, "embeddings").select("vec_id", vectors.int8("embedding").alias("q"))
 
 
-@query("mirror_copy", "SELECT vec_id, label, len(embedding) AS width FROM embeddings WHERE embedding IS NOT NULL")
-def mirror_copy(spark, sf):
-    return t(spark, sf, "embeddings").where("embedding is not null").select("vec_id", "label", F.size("embedding").cast("long").alias("width"))
-
-
 @query("debounce_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS started, count(*) AS changes FROM s GROUP BY user_id, k""")
 def debounce_sessions(spark, sf):
@@ -580,6 +533,4 @@ def worktree_overlay(spark, sf):
     return graph.overlay(own, own.where("doc_id % 3 = 0"), "/wt/").select("doc_id", "diverged", "shown_path")
 
 
-@query("files_by_unit", f"WITH {FILES} SELECT root_label, unit, list_sort(list(DISTINCT doc_id % 10)) AS shelves, count(*) AS files FROM files GROUP BY 1, 2")
-def files_by_unit(spark, sf):
-    return files(spark, sf).groupBy("root_label", text.unit_of("rel_path").alias("unit")).agg(F.array_sort(F.collect_set(F.col("doc_id") % 10)).alias("shelves"), F.count(F.lit(1)).alias("files"))
+from . import catalog_more  # noqa: E402, F401  it registers its queries here
