@@ -6,7 +6,7 @@ hash of their ids (bounded, so the fit costs the same at any size). One aggregat
 and other texts each feature occurs; the FEATURES of the strongest association (signed log-likelihood ratio) enter a
 logistic regression. For each sample text that names an identity, counterfactuals are made by swapping its identity terms
 for others (and for none), and the squared change of the score's logit is penalised with PENALTY: a group's mere mention
-then moves no score. Fitting is deterministic full-batch descent on the driver, over a matrix of bounded size.
+then moves no score. The terms are a parameter, IDENTITY by default. Fitting is deterministic full-batch descent on the driver, over a matrix of bounded size.
 
 Scoring is one pass over all documents: whole texts, no shuffle; the model is a few kilobytes.
 
@@ -122,7 +122,7 @@ def _ratio(a, b, n, m):
     return F.signum(a / n - b / m) * (k(a, n * p) + k(b, m * p) + k(n - a, n * (1 - p)) + k(m - b, m * (1 - p)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, row: str = "doc_id", text: str = "text", label: str = "toxic", held_out=None, sample: int = SAMPLE, n_features: int = FEATURES, penalty: float = PENALTY) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, row: str = "doc_id", text: str = "text", label: str = "toxic", held_out=None, sample: int = SAMPLE, n_features: int = FEATURES, penalty: float = PENALTY, identity: list[list[str]] = IDENTITY) -> Model:
     """Learn from the documents' labels. held_out(name): a condition for rows that labels mustn't be learned from."""
     held = cut(_sample(docs, labels, row, text, label, held_out, sample))
     counts = {r["toxic"]: r["count"] for r in held.groupBy("toxic").count().collect()}
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, row: str = "doc_id", text: str =
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.clip(np.log(max(share_, 1e-300) / max(1 - share_, 1e-9)), -500, 500)))
     each = held.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a + b > 1")
     best = each.select("f", F.abs(_ratio(F.col("a"), F.col("b"), float(n), float(m))).alias("w")).orderBy(F.desc("w"), "f").limit(n_features)
-    names = [w for group in IDENTITY for w in group]
+    names = [w for group in identity for w in group]
     own = dict(zip(names, _of(names), strict=True))
     chosen = np.unique(np.concatenate([np.array([r[0] for r in best.collect()], np.int64).view(np.uint64), *own.values()]))
     key = share(docs.sparkSession, chosen)
@@ -152,17 +152,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, row: str = "doc_id", text: str =
         x[i, at] = 1
     y = np.array([r[1] for r in rows], np.float32)
     places = {w: np.searchsorted(chosen, f) for w, f in own.items()}
-    swaps = counterfactuals(x, places)
+    swaps = counterfactuals(x, places, identity)
     weights, bias = _descend(x, y, swaps, penalty)
     used = weights != 0
     return Model(chosen[used], weights[used], bias)
 
 
-def counterfactuals(x: np.ndarray, places: dict[str, np.ndarray]) -> np.ndarray:
+def counterfactuals(x: np.ndarray, places: dict[str, np.ndarray], identity: list[list[str]] = IDENTITY) -> np.ndarray:
     """Changes of the feature rows when one identity term is swapped for another of its set, or for none. Each distinct
     change counts once for every text it applies to, through its weight; terms of no sample text are swapped in a bare one."""
     out = []
-    for group in IDENTITY:
+    for group in identity:
         for k, term in enumerate(group):
             mine = places[term]
             n = int((x[:, mine].min(axis=1) > 0).sum()) if len(mine) else 0
