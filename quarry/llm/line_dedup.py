@@ -28,6 +28,8 @@ from .common import cut, fresh, table
 
 #: Weight of the shortest repeated run that is deleted.
 LEAST = 40
+#: Names of runs, counted, up to which their first places are broadcast (some 15 MB).
+LOCAL_RUNS = 200_000
 
 
 def _rows(docs: DataFrame, row: str, text: str) -> DataFrame:
@@ -91,7 +93,9 @@ def later_copies(docs: DataFrame, *, row: str = "doc_id", text: str = "text", le
             named = named.withColumn("tail", F.col("start") + F.col("n") - reach).join(last, ["row", "mark", "stretch", "tail"])
         named = named.select("row", "mark", "start", "n", "a", "b")
         interval = named.groupBy("n", "a", "b").agg(F.min(F.struct("row", "mark", "start")).alias("first"), F.count(F.lit(1)).alias("all")).where("`all` > 1").drop("all")
-        found = named.join(interval, ["n", "a", "b"]).where("row <> first.row or mark <> first.mark or start <> first.start").select("row", "mark", "start", "n")
+        # written first, one row a name: a hot run's rows are then split by adaptive execution, or stay where they are
+        interval = cut(interval)
+        found = named.join(F.broadcast(interval) if interval.count() <= LOCAL_RUNS else interval, ["n", "a", "b"]).where("row <> first.row or mark <> first.mark or start <> first.start").select("row", "mark", "start", "n")
         copies = found if copies is None else copies.union(found)
         reach *= 2
         if reach <= longest:
