@@ -68,3 +68,32 @@ def test_toxicity_stage(spark, tmp_path):
     docs = spark.createDataFrame(rows, DOCS)
     out = stage("toxicity")(spark, docs, str(tmp_path))
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == {i for i in range(400) if i % 4}
+
+
+def plant(spark, tmp_path, rows, schema=DOCS):
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, 0) for r in rows if r[0] is not None], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+
+ITEM = prose(random.Random(9), 30)
+
+
+def test_run_on_planted_documents(spark, tmp_path):
+    """Nulls, empty texts, rows that stand twice, copies, a benchmark passage and a column of a name that operators use."""
+    rng = random.Random(6)
+    rows = [(*r, "x") for r in corpus(rng)]
+    rows += [(100, rows[0][1].replace(" ", "  ", 1) + " more", "en", "s", 1, "x"), (101, "before " + ITEM + " after", "en", "s", 1, "x"), (102, None, None, None, None, None), (103, "", "", "", 0, ""), (None, prose(rng, 70), "en", "s", 1, "x"), rows[5], rows[5]]
+    plant(spark, tmp_path, rows, DOCS + ", gone string")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    ids = [r["doc_id"] for r in out.collect()]
+    assert {100, 101} & set(ids) == set() and set(range(40)) <= set(ids) and None in ids and ids.count(5) == 1
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        docs = f(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "gone"]
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    plant(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

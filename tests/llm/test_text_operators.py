@@ -219,6 +219,48 @@ def test_quality_verdicts(spark):
     assert good and sum(good) / len(good) > 0.97 and bad and sum(bad) / len(bad) < 0.2
 
 
+def plain_em(rows, rules, rounds):
+    """The same estimates row by row instead of by patterns, and each row's posterior by Bayes' rule."""
+    import math
+
+    bad_bad, bad_good, good_good, good_bad = quality.START
+    chance = [{1: [good_good, good_bad], -1: [bad_good, bad_bad], 0: [1 - good_good - bad_good, 1 - good_bad - bad_bad]} if any(v[r] == 1 for v in rows) else {1: [1e-9, 1e-9], -1: [bad_good, bad_bad], 0: [1 - bad_good, 1 - bad_bad]} for r in range(rules)]
+    share = 0.5
+
+    def posterior(v):
+        good, bad = share, 1 - share
+        for r in range(rules):
+            good, bad = good * chance[r][v[r]][0], bad * chance[r][v[r]][1]
+        return good / (good + bad)
+
+    for _ in range(rounds):
+        p = [posterior(v) for v in rows]
+        new = []
+        for r in range(rules):
+            own = {k: [1e-3 * len(rows) / 3 + 1 + sum(x for x, v in zip(p, rows) if v[r] == k), 1e-3 * len(rows) / 3 + 1 + sum(1 - x for x, v in zip(p, rows) if v[r] == k)] for k in (-1, 0, 1)}
+            total = [sum(x[k] for x in own.values()) for k in (0, 1)]
+            own = {k: [x[0] / total[0], x[1] / total[1]] for k, x in own.items()}
+            for k, side in ((1, 0), (-1, 1)):
+                if own[k][side] < own[k][1 - side]:
+                    own[k] = [sum(own[k]) / 2] * 2
+            new.append(own)
+        moved = max(abs(math.fsum(p) + 1 - share * (len(p) + 2)) / (len(p) + 2), *(abs(a - b) for x, y in zip(chance, new) for k in x for a, b in zip(x[k], y[k])))
+        share, chance = (math.fsum(p) + 1) / (len(p) + 2), new
+        if moved < 1e-9:
+            break
+    return [posterior(v) for v in rows]
+
+
+def test_quality_posteriors_equal_plain_em_and_bayes(spark):
+    df = spark.createDataFrame([(i, x) for i, (x,) in enumerate(read("documents", "text"))], "doc_id long, text string")
+    counted, name = quality.statistics(df)
+    cast = quality.votes(name)
+    rows = {r[0]: tuple(r)[1:] for r in counted.select("doc_id", *[v.alias(k) for k, v in cast.items()]).collect()}
+    want = dict(zip(rows, plain_em(list(rows.values()), len(cast), 500)))
+    got = {r["doc_id"]: (r["p_good"], r["good"]) for r in quality.judge(df).collect()}
+    assert all(abs(got[i][0] - want[i]) < 1e-5 and (got[i][1] == (want[i] >= 0.5) or abs(want[i] - 0.5) < 1e-5) for i in rows) and len(got) == len(rows)
+
+
 def test_quality_em_recovers_planted_accuracies():
     rng = random.Random(7)
     from collections import Counter
@@ -266,6 +308,37 @@ def test_toxicity_learns_and_swaps_do_not_move_scores(spark):
     assert abs(a - b) < 0.02 and abs(a - b) < abs(c - d) and a < 0.5
 
 
+def test_toxicity_on_swapped_sentences(spark):
+    """Whole sentences with their identity terms swapped, scored with and without the penalty: the gap between the swaps, and
+    neutral mentions that are taken for toxic."""
+    rng = random.Random(18)
+    plain, insults = ["walk", "river", "stone", "bread", "lamp", "north", "quiet", "seven"], ["grumbo", "snark", "blarf"]
+    say = lambda n: [rng.choice(plain) for _ in range(n)]
+    rows = []
+    for i in range(3000):
+        toxic = i % 4 == 0
+        words = say(rng.randint(4, 9))
+        if toxic:
+            words += [rng.choice(insults)] if rng.random() < 0.75 else []  # some insults are put otherwise
+            words.insert(rng.randrange(len(words)), "zorgs")  # and nearly all name one group
+        elif rng.random() < 0.03:
+            words.insert(0, rng.choice(["zorgs", "mells"]))
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    import pyarrow as pa
+
+    neutral = [" ".join([*say(5), "{}", *say(2)]) for _ in range(200)]
+    swapped = lambda term: pa.array([x.format(term) for x in neutral])
+    gap, false = {}, {}
+    for penalty in (0.0, 1.0):
+        model = toxicity.fit(docs, labels, penalty=penalty, identity=[["zorgs", "mells"]])
+        a, b = model.scores(swapped("zorgs")), model.scores(swapped("mells"))
+        gap[penalty], false[penalty] = float(np.abs(a - b).mean()), float((a >= 0.5).mean())
+        assert (model.scores(pa.array([f"{x} grumbo {y}" for x, y in zip(neutral, neutral)])) > b).all()
+    assert gap[0.0] > 0.3 and gap[1.0] < 0.1 * gap[0.0] and false[0.0] > 0.5 and false[1.0] < 0.05
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, 0.1), (None, "", 0.2), (2, "a" * 10**6, 0.3)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
