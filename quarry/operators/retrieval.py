@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.vectors import cosine
+from ..functions.vectors import dot, norm
 from ..sources.tables import Table
 
 RRF_K, PREFETCH, K1, B = 60, 50, 1.2, 0.75
@@ -156,8 +156,9 @@ def dense(vectors: DataFrame, queries: DataFrame, *, row: str, vector: str, quer
     """query_id, row, score: cosine of every stored vector with each query.
 
     Queries are counted; where they are more than one broadcast holds, each block of them is a pass over the vectors."""
-    wanted = queries.select(F.col(query).alias("query_id"), F.col(query_vector).alias("q"))
-    stored = vectors.select(F.col(row).alias("row"), F.col(vector).alias("v"))
+    # lengths are taken once a vector, not once a pair
+    wanted = queries.select(F.col(query).alias("query_id"), F.col(query_vector).alias("q"), norm(query_vector).alias("q_norm"))
+    stored = vectors.select(F.col(row).alias("row"), F.col(vector).alias("v"), norm(vector).alias("v_norm"))
     n = wanted.count()
     if n > MAX_BROADCAST_QUERIES:  # consecutive numbers: no block has more rows than a broadcast may
         spark = wanted.sparkSession
@@ -167,7 +168,7 @@ def dense(vectors: DataFrame, queries: DataFrame, *, row: str, vector: str, quer
         blocks = [wanted]
     out = None
     for few in blocks:
-        some = stored.crossJoin(F.broadcast(few)).select("query_id", "row", F.round(cosine("v", "q"), digits).alias("score")).where("score is not null")
+        some = stored.crossJoin(F.broadcast(few)).select("query_id", "row", F.round(dot("v", "q") / F.nullif(F.col("v_norm") * F.col("q_norm"), F.lit(0.0)), digits).alias("score")).where("score is not null")
         out = some if out is None else out.unionByName(some)
     return out
 

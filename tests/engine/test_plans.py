@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from quarry.functions.text import ancestors_of
 from quarry.operators import embedding, lookups, retrieval
-from quarry.plans import indexing, service, settings, stores
+from quarry.plans import evals, indexing, service, settings, stores
 from quarry.sources import tables, versions, workspace
 
 CODE = "import os\nfrom . import b\n\n\ndef alpha(x):\n    return [x + i for i in range(10)]  # alpha adds a range of numbers to x, one by one\n\n\ndef beta(y):\n    return {y: y * 2, 'beta': 'doubles what it is given and keeps it under its key'}\n"
@@ -317,3 +317,23 @@ def test_grounding(spark):
     with pytest.raises(settings.UnknownName, match="q, r"):
         service.grounding_report(commits, files, repo="repo", only="z")
     assert service.grounding_report(commits, files, repo="repo", only="r").count() == 1
+
+
+def test_evaluation_runs(spark, tmp_path, index):
+    own = evals.cases(spark, [{"id": "a", "query": "beta", "expected": ["a10.py", "a8"]}, {"id": "b", "query": "gggg", "expected": ["src/b/a6"]}, {"id": "c", "query": "zzz", "expected": ["a1.py"]}])
+    for wrong in ([{"id": 1, "query": "x", "expected": []}], [{"id": 1, "query": "x", "expected": ["y"]}] * 2):
+        with pytest.raises(ValueError):
+            evals.cases(spark, wrong)
+    search = lambda q: index.search(q.withColumn("vector", F.lit(None).cast("array<double>")), mode="sparse", k=12)
+    record, judged = evals.evaluate(search, own, k=10, label="plain", config_hash="c0")
+    rows = {r["case_id"]: (r["recall"], r["first_hit"]) for r in judged.collect()}
+    assert rows["a"][0] == 1.0 and rows["b"] == (1.0, 1) and rows["c"] == (0.0, None) and record["misses"] == 1 and record["cases"] == 3 and record["seconds"] > 0
+    (tmp_path / "runs").mkdir()
+    evals.save(spark, record | {"recorded_at": "2026-01-01T00:00:00+00:00", "recall_at_k": 0.5}, str(tmp_path / "runs"))
+    evals.save(spark, record, str(tmp_path / "runs"))
+    (tmp_path / "runs" / "broken.json").write_text("{no")
+    held = evals.history(spark, str(tmp_path / "runs"))
+    assert [r["recorded_at"][:4] for r in held.collect()] == ["2026", record["recorded_at"][:4]]
+    moved = evals.delta(held).orderBy("recorded_at").collect()
+    assert moved[0]["recall_moved"] is None and moved[1]["recall_moved"] == round(record["recall_at_k"] - 0.5, 6)
+    assert evals.table(held).splitlines()[2].startswith(f"| {record['recorded_at'][:19]} | plain | c0 | 3 |")
