@@ -135,11 +135,10 @@ def ignored_files(spark, sf):
     return workspace.ignored(own, rules, own.where("doc_id % 10 = 3"))
 
 
-@query("read_texts", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'opaque' ELSE 'text' END AS kind, CASE WHEN doc_id % 7 <> 0 THEN text END AS text, CASE WHEN doc_id % 7 = 0 THEN sha256(text || chr(0)) WHEN doc_id % 3 = 0 THEN sha256(unhex('EFBBBF') || encode(text)) ELSE sha256(text) END AS sha256 FROM documents WHERE strlen(text) < 8000")
+@query("read_texts", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'opaque' ELSE 'text' END AS kind, CASE WHEN doc_id % 7 <> 0 THEN text END AS text, CASE WHEN doc_id % 7 = 0 THEN sha256(chr(0) || text) WHEN doc_id % 3 = 0 THEN sha256(unhex('EFBBBF') || encode(text)) ELSE sha256(text) END AS sha256 FROM documents")
 def read_texts(spark, sf):
-    raw = F.when(F.col("doc_id") % 7 == 0, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("00")))).when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
-    own = t(spark, sf, "documents").where("octet_length(text) < 8000")  # a NUL counts in the first 8 KiB
-    own = own.select("doc_id", raw.alias("content"), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("language"))
+    raw = F.when(F.col("doc_id") % 7 == 0, F.concat(F.unhex(F.lit("00")), F.encode("text", "UTF-8"))).when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    own = t(spark, sf, "documents").select("doc_id", raw.alias("content"), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("language"))
     return workspace.read_text(own).select("doc_id", "kind", "text", "sha256")
 
 
@@ -240,14 +239,15 @@ def markdown_sections(spark, sf):
 
 @query(
     "line_cut",
-    """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE NOT regexp_matches(text, '[\\r\\v\\f\\x{1c}-\\x{1e}\\x{85}\\x{2028}\\x{2029}]') AND text <> ''),
+    """WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '[\\r\\v\\f\\x{1c}-\\x{1e}\\x{85}\\x{2028}\\x{2029}]', '_', 'g') AS text FROM documents WHERE text <> ''), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d),
 o AS (SELECT *, (CASE WHEN trim(line) = '' THEN 0 ELSE strlen(line) END) + 1 AS size FROM l WHERE NOT (line = '' AND n = (SELECT max(n) FROM l m WHERE m.doc_id = l.doc_id))),
 r AS (SELECT doc_id, n, size AS held, 1 AS part FROM o WHERE n = 1 UNION ALL SELECT o.doc_id, o.n, CASE WHEN r.held + o.size > 256 THEN o.size ELSE r.held + o.size END, CASE WHEN r.held + o.size > 256 THEN r.part + 1 ELSE r.part END FROM r JOIN o ON o.doc_id = r.doc_id AND o.n = r.n + 1),
 g AS (SELECT doc_id, part, min(n) AS start_line, max(n) AS end_line, bool_or(trim(line) <> '') AS kept FROM r JOIN o USING (doc_id, n) GROUP BY 1, 2)
 SELECT doc_id, start_line::INT AS start_line, end_line::INT AS end_line FROM g WHERE kept OR (SELECT count(*) FROM g h WHERE h.doc_id = g.doc_id AND h.kept) = 0 AND part = 1""",
 )
 def line_cut(spark, sf):
-    own = t(spark, sf, "documents").where(~F.col("text").rlike(r"[\r\x0B\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"))
+    """Line ends other than a newline stand as underscores, since SQL splits at newlines only."""
+    own = t(spark, sf, "documents").withColumn("text", F.regexp_replace("text", r"[\r\x0B\f\x1c-\x1e\x{85}\x{2028}\x{2029}]", "_"))
     own = own.select("doc_id", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("language"), "text")
     return chunking.chunk(own, keys=["doc_id"], chunker=lambda kind, language, body: chunking.line_chunks(body, budget=64)).select("doc_id", "start_line", "end_line")
 
@@ -311,13 +311,12 @@ def front_matter_types(spark, sf):
     return t(spark, sf, "documents").select("doc_id", found["doc_type"].alias("doc_type"), found["reason"].alias("reason"))
 
 
-@query("modal_rule", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'normative' ELSE 'unknown' END AS doc_type FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) BETWEEN 50 AND 2000")
+@query("modal_rule", r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND 160000.0 / (120 + len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) >= 12 THEN 'normative' ELSE 'unknown' END AS doc_type FROM documents")
 def modal_rule(spark, sf):
-    n = F.size(F.filter(F.split("text", r"(?U)\s+"), lambda x: x != ""))
-    own = t(spark, sf, "documents").where(n.between(50, 2000))
-    # forty words of the fixed list among at most 2,080 others make twelve in a thousand whatever the text says
-    body = F.when(F.col("doc_id") % 2 == 0, F.concat(F.repeat(F.lit("You MUST do. "), 40), "text")).otherwise(F.regexp_replace(F.col("text"), r"(?iU)\b(must|shall|never|always|is required to|should|required)\b", "x"))
-    return own.select("doc_id", classify.document_type(cat("x", s_("doc_id"), ".txt"), body, F.lit("text"))["doc_type"].alias("doc_type"))
+    """Texts without modal words of their own, and with forty sentences of them before every second one."""
+    bare = F.regexp_replace(F.col("text"), r"(?iU)\b(must|shall|never|always|should|required)\b", "x")
+    body = F.when(F.col("doc_id") % 2 == 0, F.concat(F.repeat(F.lit("You MUST do. "), 40), bare)).otherwise(bare)
+    return t(spark, sf, "documents").select("doc_id", classify.document_type(cat("x", s_("doc_id"), ".txt"), body, F.lit("text"))["doc_type"].alias("doc_type"))
 
 
 _MODULES = [("os.path", "python"), ("fs/promises", "typescript"), ("node:test", "typescript"), ("test", "typescript"), ("System.IO", "csharp"), ("pkg/x", "typescript"), ("pkg.x", "python"), ("pkgs", "python")]
@@ -651,9 +650,9 @@ def reprojected_points(spark, sf):
     return stores.reprojected(own, 16, model="m", held=64).select("vec_id", "space_slug", F.transform("dense", lambda x: F.round(x, 4).cast("double")).alias("dense"))
 
 
-@query("payloads", f"WITH {FILES} SELECT doc_id, 'doc_' || doc_id || '.md' AS file_name, '.md' AS ext, [unit, unit || '/' || root_label] AS ancestors, sha256(text) AS content_sha, '# h' AS context_header, 's' AS space_slug FROM files WHERE text <> ''")
+@query("payloads", f"WITH {FILES} SELECT doc_id, 'doc_' || doc_id || '.md' AS file_name, '.md' AS ext, [unit, unit || '/' || root_label] AS ancestors, sha256(text) AS content_sha, CASE WHEN text IS NOT NULL THEN '# h' END AS context_header, 's' AS space_slug FROM files")
 def payloads(spark, sf):
-    own = files(spark, sf).where("text <> ''").select(F.col("doc_id").alias("chunk_id"), "root_label", "rel_path", F.col("text").alias("source_text"), F.concat(F.lit("# h\n"), "text").alias("embed_text"))
+    own = files(spark, sf).select(F.col("doc_id").alias("chunk_id"), "root_label", "rel_path", F.col("text").alias("source_text"), F.concat(F.lit("# h\n"), "text").alias("embed_text"))
     return stores.payload(own, space="s").select(F.col("chunk_id").alias("doc_id"), "file_name", "ext", "ancestors", "content_sha", "context_header", "space_slug")
 
 
