@@ -54,6 +54,7 @@ class Indexer:
         self.backend = backend or own
         self.slug = f"{workspace.index.embedding_model.replace(':', '_')}_{self.width}"
         self.store = VectorStore(spark, f"{self.folder}/points")
+        self._written: list[str] = []
 
     def table(self, name: str, schema: str) -> Table:
         own = Table(self.spark, f"{self.folder}/{name}")
@@ -61,9 +62,10 @@ class Indexer:
             own.replace(self.spark.createDataFrame([], schema))
         return own
 
-    def _walked(self) -> DataFrame:
+    def _walked(self, labels: list[str]) -> DataFrame:
         found = None
-        for label, root in self.workspace.roots.items():
+        for label in labels:
+            root = self.workspace.roots[label]
             own = ws.walk(self.spark, root, label, content=True, max_bytes=self.workspace.index.max_file_bytes)
             gone = ws.ignored(own, ws.ignore_rules(own))
             own = own.join(gone, "rel_path", "left_anti")
@@ -71,22 +73,35 @@ class Indexer:
         return found.withColumn("mtime", F.unix_micros(F.col("mtime").cast("timestamp")))
 
     def _cut(self, df: DataFrame) -> DataFrame:
+        """The frame, written for the length of a run."""
         path = f"{shared_folder(self.spark)}/run-{uuid.uuid4().hex}"
+        self._written.append(path)
         df.write.parquet(path)
         return self.spark.read.parquet(path)
 
+    def _clear(self) -> None:
+        for path in self._written:
+            Table(self.spark, path).drop()
+        self._written.clear()
+
     def run(self, *, force: bool = False, delete_anyway: bool = False) -> Report:
+        """Brings the index up to date. Roots that can't be seen are left as they are: their files are not gone."""
+        try:
+            return self._run(force, delete_anyway)
+        finally:
+            self._clear()
+
+    def _run(self, force: bool, delete_anyway: bool) -> Report:
         index, run_id = self.workspace.index, uuid.uuid4().hex
         seen = ws.observable(self.spark, self.workspace.roots)
         roots = [r for r, there in seen.items() if there]
-        self.workspace = settings.Workspace(self.workspace.name, {r: self.workspace.roots[r] for r in roots}, index, self.workspace.repositories) if len(roots) < len(seen) else self.workspace
         files, spaces = self.table("files", FILE), self.table("spaces", SPACE)
         runs = self.table("runs", RUN)
         event = lambda name, decision=None, n=None, tokens=None: self.spark.createDataFrame([(run_id, name, decision, n, tokens)], "run_id string, event string, decision string, files long, tokens long").withColumn("at", F.current_timestamp()).select("run_id", "event", "at", "decision", "files", "tokens")
         runs.append(event("start"))
 
         # 1. what is there, and what is to be done with it by stat alone
-        judged = self._cut(ws.candidates(self._walked(), max_bytes=index.max_file_bytes, excluded=index.all_excludes)) if roots else None
+        judged = self._cut(ws.candidates(self._walked(roots), max_bytes=index.max_file_bytes, excluded=index.all_excludes)) if roots else None
         if judged is None:
             runs.append(event("finish", "NONE", 0, 0))
             return Report(run_id, {}, {}, 0, 0, 0, 0, [], sorted(set(seen) - set(roots)))
@@ -165,13 +180,15 @@ class Indexer:
     def rescan(self, version: int = GRAPH_VERSION) -> int:
         """Scans files again whose edges an older scanner found, without embedding anything. How many there were."""
         files = self.table("files", FILE)
-        old = self._cut(graph.stale_graph(files.read(), ["python", "javascript", "typescript", "tsx", "csharp"], version))
+        roots = [r for r, there in ws.observable(self.spark, self.workspace.roots).items() if there]
+        old = self._cut(graph.stale_graph(files.read(), ["python", "javascript", "typescript", "tsx", "csharp"], version).where(F.col("root_label").isin(roots)))
         n = old.count()
         if n:
-            walked = ws.read_text(ws.candidates(self._walked()).join(old.select(*KEYS), KEYS, "left_semi")).select(*KEYS, "language", "text")
+            walked = ws.read_text(ws.candidates(self._walked(roots)).join(old.select(*KEYS), KEYS, "left_semi")).select(*KEYS, "language", "text")
             own = self.table("imports", EDGE)
             own.replace(ledger.replace_owned(own.read(), ws.imports(walked).select(*KEYS, "module", "line", "kind", "is_relative"), old, KEYS))
             files.replace(ledger.upsert(files.read(), old.withColumn("graph_version", F.lit(version)), KEYS))
+        self._clear()
         return n
 
     def status(self) -> DataFrame:
