@@ -48,9 +48,9 @@ def context_headers(spark, sf):
     return own.select("doc_id", header.alias("header"), text.header_of(embedded, "text").alias("back"), text.header_token_cost("unit", "branch", "rel_path", None, "doc_type").alias("cost"))
 
 
-@query("space_slugs", "SELECT k, 'voyage_m-' || k || '_' || w AS slug, 'voyage_m-' || k || '_' || w || CASE WHEN k % 2 = 0 THEN '_from_1024' ELSE '' END AS cut, 'a/b.py:' || k || '-' || w AS place FROM (SELECT p_partkey AS k, p_size AS w FROM part)")
+@query("space_slugs", "SELECT k, 'vendor_m-' || k || '_' || w AS slug, 'vendor_m-' || k || '_' || w || CASE WHEN k % 2 = 0 THEN '_from_1024' ELSE '' END AS cut, 'a/b.py:' || k || '-' || w AS place FROM (SELECT p_partkey AS k, p_size AS w FROM part)")
 def space_slugs(spark, sf):
-    model = cat("voyage/m.", s_("k"))
+    model = cat("vendor/m.", s_("k"))
     full = F.expr("if(k % 2 = 0, 1024, null)")
     return parts(spark, sf).select("k", text.space_slug(model, "p_size").alias("slug"), text.space_slug(model, "p_size", full).alias("cut"), text.location(F.lit("a/b.py"), "k", "p_size").alias("place")).withColumn("slug", F.replace("slug", F.lit("__"), F.lit("_"))).withColumn("cut", F.replace("cut", F.lit("__"), F.lit("_")))
 
