@@ -102,14 +102,18 @@ class StoredIndex:
         once = held.agg(F.count_distinct("row").alias("n"), (F.sum(F.col("tf").cast("double"))).alias("words"))
         once.select("n", (F.col("words") / F.col("n")).alias("mean_len")).coalesce(1).write.parquet(f"{path}/statistics")
 
-    def read(self, table: str, terms: DataFrame) -> DataFrame:
-        """The rows of these distinct terms (term)."""
-        own = self.spark.read.parquet(f"{self.path}/{table}")
+    def asked(self, terms: DataFrame) -> DataFrame | list[tuple[str, int]]:
+        """Distinct terms with their buckets: as values if they are few (a bounded number), else as a frame."""
         keyed = terms.select("term", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).alias("bucket"))
-        few = keyed.limit(LITERAL_TERMS + 1).collect()  # a bounded number
-        if len(few) > LITERAL_TERMS:
-            return own.join(keyed, ["bucket", "term"], "left_semi").drop("bucket")
-        return own.where(F.col("bucket").isin(sorted({r[1] for r in few})) & F.col("term").isin([r[0] for r in few])).drop("bucket")
+        few = keyed.limit(LITERAL_TERMS + 1).collect()
+        return keyed if len(few) > LITERAL_TERMS else [tuple(r) for r in few]
+
+    def read(self, table: str, asked: DataFrame | list[tuple[str, int]]) -> DataFrame:
+        """The rows of the terms asked for."""
+        own = self.spark.read.parquet(f"{self.path}/{table}")
+        if isinstance(asked, DataFrame):
+            return own.join(asked, ["bucket", "term"], "left_semi").drop("bucket")
+        return own.where(F.col("bucket").isin(sorted({b for _, b in asked})) & F.col("term").isin([t for t, _ in asked])).drop("bucket")
 
 
 def bm25(index: DataFrame | StoredIndex, queries: DataFrame, *, query: str, text: str, allowed: DataFrame | None = None, digits: int = 6) -> DataFrame:
@@ -119,7 +123,8 @@ def bm25(index: DataFrame | StoredIndex, queries: DataFrame, *, query: str, text
     terms = queries.select(F.col(query).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     names = terms.select("term").distinct()
     if isinstance(index, StoredIndex):
-        wanted, df = index.read("postings", names), index.read("terms", names)
+        asked = index.asked(names)
+        wanted, df = index.read("postings", asked), index.read("terms", asked)
         n, mean_len = F.lit(index.n), F.lit(index.mean_len)
     else:
         wanted = index.join(names, "term", "left_semi")
@@ -143,9 +148,9 @@ def quoted(index: StoredIndex, passages: DataFrame, docs: DataFrame, *, query: s
     own = passages.select(F.col(query).alias("query_id"), F.col(passage).alias("passage")).where("passage is not null")
     words = tokens(F.col("passage"))
     inner = own.select("query_id", F.explode(F.array_distinct(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))).alias("term"))
-    df = index.read("terms", inner.select("term").distinct())
+    df = index.read("terms", index.asked(inner.select("term").distinct()))
     rarest = inner.join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    found = index.read("postings", rarest.select("term").distinct()).join(rarest, "term").select("query_id", "row")
+    found = index.read("postings", index.asked(rarest.select("term").distinct())).join(rarest, "term").select("query_id", "row")
     texts = docs.select(F.col(row).alias("row"), F.col(text).alias("_text"))
     hits = found.join(own, "query_id").join(texts, "row").where(F.contains("_text", "passage")).select("query_id", "row")
     bare = own.join(rarest, "query_id", "left_anti")

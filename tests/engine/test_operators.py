@@ -169,3 +169,24 @@ def test_more_unwatched_directories_than_ten_thousand(spark):
     own = spark.createDataFrame([(f"a/d{i}/x/f.py",) for i in range(12_000)] + [("a/kept/f.py",), ("d7",)], "path string")
     dirs = spark.createDataFrame([(f"a/d{i}",) for i in range(12_000)] + [("b",)], "dir string")
     assert sorted(r[0] for r in changes.kept_changes(own, [], unwatched=dirs).collect()) == ["a/kept/f.py", "d7"]
+
+
+def test_stored_index_reads_terms_only(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha {'beta ' * (i % 4)} w{i % 7} Ünder {chr(97 + i % 5) * 3}") for i in range(60)] + [(99, None), (98, "")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    index = retrieval.StoredIndex.of(docs, row="doc_id", text="text", folder=str(tmp_path / "index"))
+    again = retrieval.StoredIndex.of(docs, row="doc_id", text="text", folder=str(tmp_path / "index"))
+    assert again.path == index.path and index.n == 60
+    queries = spark.createDataFrame([(1, "beta aaa ünder"), (2, "nothing"), (3, "ccc ccc alpha")], "q long, text string")
+    score = lambda own: sorted(map(tuple, retrieval.bm25(own, queries, query="q", text="text").collect()))
+    want = score(retrieval.postings(docs, row="doc_id", text="text"))
+    assert score(index) == want and want
+    plan = retrieval.bm25(index, queries, query="q", text="text")._jdf.queryExecution().toString()
+    assert str(tmp_path / "documents") not in plan and "PartitionFilters: [" in plan
+    monkeypatch.setattr(retrieval, "LITERAL_TERMS", 2)
+    assert score(index) == want
+    passages = spark.createDataFrame([(1, "lpha beta beta  w"), (2, "w3"), (3, "no such words here"), (4, "")], "q long, passage string")
+    got = {(r[0], r[1]) for r in retrieval.quoted(index, passages, docs, query="q", passage="passage", row="doc_id", text="text").collect()}
+    texts = [(r[0], r[1]) for r in docs.collect() if r[1] is not None]
+    assert got == {(q, i) for q, p in ((1, "lpha beta beta  w"), (2, "w3"), (3, "no such words here"), (4, "")) for i, t in texts if p in t}
