@@ -54,6 +54,8 @@ COUNTERS, SAMPLE = 1 << 20, 8
 LOCAL_EDGES = 500_000
 #: Bytes of texts, summed, up to which those of one side of the pairs are broadcast instead of dealt out.
 LOCAL_BYTES = 32 << 20
+#: Bytes of bags, about, in a block of them where pairs meet block by block, and blocks at least.
+BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 8
 #: Ids, counted, up to which a set of them is broadcast to pick rows before these are dealt out (some tens of MB).
 LOCAL_IDS = 1_000_000
 _VALUES = byte_values(b"\t\n\x0b\x0c\r ", lower=True)
@@ -168,12 +170,20 @@ def _signatures(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return bags, np.ascontiguousarray(raw[:, PLACES // 2 :]).view(np.int32)
 
 
-def apart(a: bytes, b: bytes) -> int:
-    """Words, at least, that one of two texts has and the other lacks, by their bags: never more than their edit distance."""
+def apart(a: bytes, b: bytes, n: int | None = None, m: int | None = None) -> int:
+    """Words, at least, that one of two texts (of n and m words) has and the other lacks, by their bags: never more than their
+    edit distance. Words that full places don't count meet none of the other text's unless a place is full in both."""
     x, y = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (a, b))
     places = min(len(x), len(y))
-    more = x.reshape(-1, places).sum(0) - y.reshape(-1, places).sum(0)
-    return int(max(more[more > 0].sum(), -more[more < 0].sum()))
+    x, y = (np.minimum(v.reshape(-1, places).sum(0), 255) for v in (x, y))  # counts of joined places end at 255 too
+    more = x - y
+    up, down = int(more[more > 0].sum()), -int(more[more < 0].sum())
+    if n is not None and m is not None:
+        over, under = n - int(x.sum()), m - int(y.sum())
+        if over or under:
+            meet = bool(((x == 255) & (y == 255)).any())
+            up, down = up + max(0, over - under * meet), down + max(0, under - over * meet)
+    return max(up, down)
 
 
 _SKETCHED = StructType([StructField("id", LongType()), StructField("a", LongType()), StructField("b", LongType()), StructField("n", IntegerType()), StructField("keys", ArrayType(LongType())), StructField("bag", BinaryType())])
@@ -346,6 +356,20 @@ def _tested(members: DataFrame) -> DataFrame:
     return members.join(hubs, "key").where("hub <> id").select("key", "size", F.col("hub").alias("a"), F.col("id").alias("b"))
 
 
+def _small_apart(bags: np.ndarray, over: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """As apart(), of pairs of rows by their small bags; over: words of each row that its full places don't count."""
+    more = bags[left] - bags[right]
+    up = np.maximum(more, 0).sum(1, dtype=np.int32)
+    down = up - more.sum(1, dtype=np.int32)
+    full = np.flatnonzero((over[left] > 0) | (over[right] > 0))
+    if len(full):
+        x, y = left[full], right[full]
+        meet = ((bags[x] == 15) & (bags[y] == 15)).any(1)
+        up[full] += np.maximum(0, over[x] - over[y] * meet)
+        down[full] += np.maximum(0, over[y] - over[x] * meet)
+    return np.maximum(up, down)
+
+
 def _across(batches, least: float):
     """Of rows (key, label, id, n and, if they have it, sign) in the order of key and label: pairs (a, b, must) of a key with
     different labels that their lengths and small bags allow. A pair whose leaders meet comes under the least of these keys
@@ -354,6 +378,7 @@ def _across(batches, least: float):
 
     def pairs(key, label, node, n, bags=None, leaders=None):
         size = len(key)
+        over = None if bags is None else n - bags.sum(1, dtype=np.int32)
         new_key = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         new_label = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (label[1:] != label[:-1])]))
         at = np.arange(size)
@@ -369,9 +394,7 @@ def _across(batches, least: float):
             most = (longer * (1 - least) + 1e-9).astype(np.int32)
             able = np.flatnonzero(np.minimum(n[left], n[right]) >= longer - most)
             if bags is not None and len(able):
-                more = bags[left[able]] - bags[right[able]]
-                up = np.maximum(more, 0).sum(1, dtype=np.int32)
-                able = able[np.maximum(up, up - more.sum(1, dtype=np.int32)) <= most[able]]
+                able = able[_small_apart(bags, over, left[able], right[able]) <= most[able]]
                 x, y = leaders[left[able]], leaders[right[able]]
                 common = np.where((x[:, :, None] == y[:, None, :]).any(2), x, _NO_WORD).min(1)
                 able = able[(common == _NO_WORD) | (common == key[left[able]])]
@@ -407,16 +430,47 @@ def _near(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b, both) whose lengths and bags (id, n, bag) allow that they are similar: only their texts are dealt out."""
     left, right = _sides(pairs, bags)
     left, right = left.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("bag").alias("x")), right.select(F.col("id").alias("b"), F.col("n").alias("o"), F.col("bag").alias("y"))
-    whole = pairs.join(right, "b").join(left, "a").where(F.least("o", "m") >= F.greatest("o", "m") * least - 1).select("a", "b", "both", F.greatest("o", "m").alias("n"), "x", "y")
+    whole = pairs.join(right, "b").join(left, "a").where(F.least("o", "m") >= F.greatest("o", "m") * least - 1).select("a", "b", "both", "m", "o", "x", "y")
 
     def run(batches):
         for batch in batches:
-            kept = [apart(x, y) <= int(n * (1 - least) + 1e-9) for n, x, y in zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)), strict=True)]
+            kept = [apart(x, y, n, m) <= int(max(n, m) * (1 - least) + 1e-9) for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in (3, 4, 5, 6)), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["a", "b", "both"]).filter(pa.array(kept, pa.bool_()))
 
     return whole.mapInArrow(lambda batches: released(run(batches)), "a long, b long, both long")
 
 
+def _weighed(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose bags (id, n, bag) allow that they are similar, where few texts make many pairs.
+
+    A bag isn't dealt out with each of its pairs: ids fall into blocks of about BLOCK_BYTES, a pair into the cell of its two
+    blocks, and a bag goes once to each cell that holds a pair of it. A task holds the bags of one cell at a time."""
+    held = cut(_among(bags, cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
+    blocks = max(LEAST_BLOCKS, -(-held.agg(F.coalesce(F.sum(F.octet_length("bag")), F.lit(0))).first()[0] // BLOCK_BYTES))
+    at = pairs.select(*(F.pmod(F.xxhash64(x), F.lit(blocks)).alias(f"of_{x}") for x in "ab"), "a", "b")
+    needed = at.select("of_a", "of_b", F.explode(F.array("a", "b")).alias("id")).distinct().join(held, "id")
+    rows = needed.select("of_a", "of_b", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "n", "bag")
+    rows = rows.unionByName(at, allowMissingColumns=True).repartition("of_a", "of_b").sortWithinPartitions("of_a", "of_b", F.col("b").asc_nulls_first())
+
+    def run(batches):
+        cell, own = None, {}
+        for batch in batches:
+            left, right = [], []
+            for i, j, a, b, n, bag in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if cell != (i, j):
+                    cell, own = (i, j), {}
+                if b is None:
+                    own[a] = bag, n
+                else:
+                    (x, n), (y, m) = own[a], own[b]
+                    if apart(x, y, n, m) <= int(max(n, m) * (1 - least) + 1e-9):
+                        left.append(a)
+                        right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(lambda batches: released(run(batches)), "a long, b long")
+
+
 def _labelled(ids: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Of (id, ...): with label, the least id of its component so far."""
     if labels is None:
@@ -462,7 +516,8 @@ def links_and_members(docs: DataFrame, *, row: str = "doc_id", text: str = "text
     rest = rest.join(mixed, "key", "left_semi").select("id").distinct()
     rest = cut(rest.union(sketched.where(F.col("n") <= short).select("id").join(own, "id", "left_semi")).distinct())
     labelled = cut(_labelled(_dressed(_among(texts, rest), rarity(texts), least), labels))
-    linked(cut(_rest(labelled, least).join(pairs.select("a", "b"), ["a", "b"], "left_anti")))
+    # pairs of this join can grow with the square of a group of like texts: they meet as bags before texts are dealt out
+    linked(cut(_weighed(cut(_rest(labelled, least).join(pairs.select("a", "b"), ["a", "b"], "left_anti")), bags, least)))
     return members, labels
 
 

@@ -1,6 +1,7 @@
 """Substring, near-duplicate and line dedup against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -399,6 +400,41 @@ def test_small_bags_never_exceed_the_distance():
         assert sorted(np.array(a[:20], np.uint64).astype(np.int32))[: near_dedup.LEADERS] == [v for v in least[0] if v != 2**31 - 1]
 
 
+def test_words_beyond_full_places_count():
+    """Texts of one word over and over fill a place of their bags: what is beyond counts as long as no place is full in both."""
+    rng = np.random.RandomState(3)
+    for n, m in ((600, 610), (1752, 1760), (9000, 8000)):
+        a, b = np.full(n, 7, np.uint64), np.full(m, 8, np.uint64)
+        assert near_dedup.apart(near_dedup.bag(a), near_dedup.bag(b), n, m) == max(n, m)
+        rows = [(5, t, t, len(x), near_dedup.signature(x, np.array([5], np.int32))) for t, x in enumerate((a, b))]
+        batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["key", "label", "id", "n", "sign"])
+        assert not sum(out.num_rows for out in near_dedup._across([batch], 0.8))
+    for _ in range(300):  # never more than what one text has and the other lacks
+        a, b = (np.concatenate([np.repeat(rng.randint(0, 1 << 40, 3), rng.randint(1, 900, 3)), rng.randint(0, 40, rng.randint(1, 60))]).astype(np.uint64) for _ in "ab")
+        if rng.rand() < 0.5:
+            b = np.concatenate([a[: rng.randint(1, len(a) + 1)], b[: rng.randint(0, 99)]])
+        most = max((Counter(a.tolist()) - Counter(b.tolist())).total(), (Counter(b.tolist()) - Counter(a.tolist())).total())
+        assert near_dedup.apart(near_dedup.bag(a), near_dedup.bag(b), len(a), len(b)) <= most
+        signs = near_dedup._signatures([near_dedup.signature(x, np.array([5], np.int32)) for x in (a, b)])[0]
+        over = np.array([len(a), len(b)], np.int32) - signs.sum(1, dtype=np.int32)
+        assert near_dedup._small_apart(signs, over, np.array([0]), np.array([1]))[0] <= most
+
+
+def test_pairs_of_a_group_meet_as_bags(spark, monkeypatch):
+    """Many pairs of few long texts are weighed by their bags, block by block: the pairs of each size that bags allow, no others."""
+    rng = np.random.RandomState(4)
+    base = rng.randint(0, 1 << 40, 900)
+    own = {i: np.concatenate([base[: 900 - 12 * i], rng.randint(0, 1 << 40, 12 * i)]).astype(np.uint64) for i in range(40)}
+    bags = spark.createDataFrame([(i, len(x), bytearray(near_dedup.bag(x))) for i, x in own.items()], "id long, n int, bag binary")
+    pairs = [(i, j) for i in own for j in own if i < j]
+    want = {(i, j) for i, j in pairs if near_dedup.apart(*(near_dedup.bag(own[x]) for x in (i, j)), 900, 900) <= 180}
+    assert 0 < len(want) < len(pairs)
+    for block in (near_dedup.BLOCK_BYTES, 700):  # 8 blocks, and about one a bag
+        monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block)
+        got = sorted(map(tuple, near_dedup._weighed(spark.createDataFrame(pairs, "a long, b long"), bags, 0.8).collect()))
+        assert got == sorted(want)
+
+
 def test_pairs_with_leaders_come_once():
     """With signatures every pair still comes, and one whose leaders meet comes once."""
     rng = np.random.RandomState(5)
