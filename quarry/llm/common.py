@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import pickle
 import re
 import tempfile
@@ -37,6 +38,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def swept(df: DataFrame) -> DataFrame:
+    """As cut(); the driver then collects its garbage, since Spark keeps the shuffle files of what ran before until it does.
+
+    Frames hold these too: those of Python that nobody has any more, in cycles with their methods, go first."""
+    out = cut(df)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame doesn't have, whatever its columns are called (case aside)."""
     taken = {c.lower() for c in df.columns}
@@ -191,4 +203,4 @@ def no_rows(schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
 
 
-__all__ = ["DataFrame", "F", "SparkSession", "byte_values", "cut", "fresh", "mix", "no_rows", "opened", "parts", "powers", "released", "share", "slices", "table", "utf8", "word_hashes"]
+__all__ = ["DataFrame", "F", "SparkSession", "byte_values", "cut", "fresh", "mix", "no_rows", "opened", "parts", "powers", "released", "share", "slices", "swept", "table", "utf8", "word_hashes"]

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import byte_values, cut, fresh, mix, released, slices, table, utf8, word_hashes
+from .common import byte_values, cut, fresh, mix, released, slices, swept, table, utf8, word_hashes
 
 KMER, SIMILARITY = 5, 0.8
 #: Sketches, their picks, and the words of their k-mers. The second level's shorter k-mers outlive scattered edits.
@@ -352,7 +352,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def _tested(members: DataFrame) -> DataFrame:
     """Of (id, key): each bucket's hub, its least id, with its other members: key, size, a (the hub), b."""
     # written first, a row a bucket: adaptive execution can then split the members of a hot one
-    hubs = cut(members.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+    hubs = swept(members.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     return members.join(hubs, "key").where("hub <> id").select("key", "size", F.col("hub").alias("a"), F.col("id").alias("b"))
 
 
@@ -499,14 +499,14 @@ def links_and_members(docs: DataFrame, *, row: str = "doc_id", text: str = "text
 
     def linked(pairs):
         nonlocal found, labels
-        new = cut(_verified(pairs, texts, least))
+        new = swept(_verified(pairs, texts, least))
         if not new.isEmpty():
             found = new if found is None else found.union(new)
             labels = components(found)
 
     # a text's best hub, by the sketches that they share, first: in a large class nearly all links are among these
-    buckets = cut(_tested(_among(sketched.select("id", "keys"), own).select("id", F.explode("keys").alias("key"))))
-    pairs = cut(_near(cut(buckets.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))), bags, least))
+    buckets = swept(_tested(_among(sketched.select("id", "keys"), own).select("id", F.explode("keys").alias("key"))))
+    pairs = swept(_near(swept(buckets.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))), bags, least))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("both", -F.col("a"))).alias("a")).select("a", "b")
     linked(cut(best))
     linked(cut(_apart_yet(pairs.select("a", "b"), labels).join(best, ["a", "b"], "left_anti")))
@@ -517,7 +517,7 @@ def links_and_members(docs: DataFrame, *, row: str = "doc_id", text: str = "text
     rest = cut(rest.union(sketched.where(F.col("n") <= short).select("id").join(own, "id", "left_semi")).distinct())
     labelled = cut(_labelled(_dressed(_among(texts, rest), rarity(texts), least), labels))
     # pairs of this join can grow with the square of a group of like texts: they meet as bags before texts are dealt out
-    linked(cut(_weighed(cut(_rest(labelled, least).join(pairs.select("a", "b"), ["a", "b"], "left_anti")), bags, least)))
+    linked(swept(_weighed(swept(_rest(labelled, least).join(pairs.select("a", "b"), ["a", "b"], "left_anti")), bags, least)))
     return members, labels
 
 

@@ -1,12 +1,16 @@
 """Substring, near-duplicate and line dedup against brute force."""
 
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from quarry.llm import line_dedup, near_dedup, substring_dedup
+from quarry.llm.common import swept
 
 TEXT = "doc_id long, text string"
 
@@ -420,6 +424,19 @@ def test_words_beyond_full_places_count():
         assert near_dedup._small_apart(signs, over, np.array([0]), np.array([1]))[0] <= most
 
 
+def test_shuffle_files_go_as_soon_as_a_step_is_written(spark):
+    """Of steps that are written one after the other, only the last one's shuffle files are still held."""
+    jsc = spark.sparkContext._jsc.sc()
+    held = lambda: sum(f.stat().st_size for d in jsc.env().blockManager().diskBlockManager().localDirsString() for f in Path(d).rglob("shuffle_*.data"))
+    swept(spark.range(1))
+    time.sleep(1)
+    before, now = held(), spark.range(200_000)
+    for step in range(4):
+        now = swept(now.repartition(4, F.col("id") + step))
+    time.sleep(2)  # Spark's cleaner has a thread of its own
+    assert held() - before < 2 * 200_000 * 8
+
+
 def test_pairs_of_a_group_meet_as_bags(spark, monkeypatch):
     """Many pairs of few long texts are weighed by their bags, block by block: the pairs of each size that bags allow, no others."""
     rng = np.random.RandomState(4)
