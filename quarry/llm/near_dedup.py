@@ -13,7 +13,7 @@ the hub it shares most sketches with first, and other hubs only where these link
 What hubs can't tell goes to an exact join over words: texts of a bucket whose members are still in different components,
 of which neither is its hub, and texts of SHORT words at most, in which edits may leave no run whole. Texts of n words at
 most that are similar share n - floor(0.2 n) labelled words or more. Under any one order of words, the first floor(0.2 m) + 1 words of
-each (m its own length) then have one in common. The order is by rarity (counted on a sample; it decides the work, never the
+each (m its own length) then have one in common. The order is by rarity (counted over all texts of this join; it decides the work, never the
 result), so what many texts quote comes last and joins nobody. Where the first words of two texts of different components
 meet, lengths and small bags of words are compared at once, so that only what may be similar is dealt out and aligned, and
 a pair with many such words in common comes once. No bucket, member or candidate is capped or dropped.
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import byte_values, cut, fresh, mix, released, slices, swept, table, utf8, word_hashes
+from .common import byte_values, cut, fresh, mix, parts, released, slices, swept, table, utf8, word_hashes
 
 KMER, SIMILARITY = 5, 0.8
 #: Sketches, their picks, and the words of their k-mers. The second level's shorter k-mers outlive scattered edits.
@@ -48,8 +48,8 @@ SHORT = 48
 SHARED = 1
 #: Places of a text's small bag, and how many of its first words, the least by hash, its rows in the exact join carry beside.
 PLACES, LEADERS = 512, 16
-#: Counters of words for their order, and the share of texts counted: one in so many.
-COUNTERS, SAMPLE = 1 << 20, 8
+#: Counters of words for their order.
+COUNTERS = 1 << 20
 #: Edges, counted, up to which one task finds components (about 100 MB).
 LOCAL_EDGES = 500_000
 #: Bytes of texts, summed, up to which those of one side of the pairs are broadcast instead of dealt out.
@@ -116,7 +116,7 @@ def sketch(labelled: np.ndarray, sketches: int = LEVELS[0][0], picks: int = LEVE
 
 
 def rarity(texts: DataFrame) -> np.ndarray:
-    """For each counter of labelled words a logarithm of its count over a sample of the texts (one byte each)."""
+    """For each counter of labelled words a logarithm of its count over all the texts (one byte each)."""
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.int64)
@@ -129,8 +129,7 @@ def rarity(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["at", "n"])
 
-    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text")
-    found = some.mapInArrow(run, "at int, n long").groupBy("at").agg(F.round(F.log2(F.sum("n") + 1) * 4).cast("int").alias("n")).toArrow()
+    found = texts.select("text").mapInArrow(lambda batches: released(run(batches)), "at int, n long").groupBy("at").agg(F.round(F.log2(F.sum("n") + 1) * 4).cast("int").alias("n")).toArrow()
     out = np.zeros(COUNTERS, np.uint8)  # as many rows as counters at most
     out[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return out
@@ -420,9 +419,10 @@ def _across(batches, least: float):
 
 def _rest(texts: DataFrame, least: float) -> DataFrame:
     """Of (id, n, label, words, sign): all pairs (a, b) with different labels that may be similar by their first words, lengths and small bags."""
-    # most first words stand in one text: only those of several components are dealt out with what the comparison needs
+    # most first words stand in one text: only those of several components are dealt out with what the comparison needs, to
+    # few tasks, since a text's rows of one task are written as little more than one
     held = texts.select(F.explode("words").alias("key"), "label").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    rows = _among(texts.select(F.explode("words").alias("key"), "label", "id", "n", "sign"), cut(held.where("low <> high").select("key")), "key").repartition("key").sortWithinPartitions("key", "label")
+    rows = _among(texts.select(F.explode("words").alias("key"), "label", "id", "n", "sign"), cut(held.where("low <> high").select("key")), "key").repartition(max(12, parts(texts) // 4), "key").sortWithinPartitions("key", "label")
     return rows.mapInArrow(lambda batches: released(_across(batches, least)), "a long, b long, must int").select("a", "b").distinct()
 
 
@@ -515,7 +515,8 @@ def links_and_members(docs: DataFrame, *, row: str = "doc_id", text: str = "text
     mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     rest = rest.join(mixed, "key", "left_semi").select("id").distinct()
     rest = cut(rest.union(sketched.where(F.col("n") <= short).select("id").join(own, "id", "left_semi")).distinct())
-    labelled = cut(_labelled(_dressed(_among(texts, rest), rarity(texts), least), labels))
+    joining = _among(texts, rest)
+    labelled = cut(_labelled(_dressed(joining, rarity(joining), least), labels))
     # pairs of this join can grow with the square of a group of like texts: they meet as bags before texts are dealt out
     linked(swept(_weighed(swept(_rest(labelled, least).join(pairs.select("a", "b"), ["a", "b"], "left_anti")), bags, least)))
     return members, labels

@@ -424,6 +424,15 @@ def test_words_beyond_full_places_count():
         assert near_dedup._small_apart(signs, over, np.array([0]), np.array([1]))[0] <= most
 
 
+def test_rarity_counts_every_text(spark):
+    """A word of n texts has the count n, wherever these stand: nothing is sampled."""
+    rows = [(i, "everywhere" + " once%d" % i + " rare" * (i == 77)) for i in range(200)]
+    order = near_dedup.rarity(spark.createDataFrame(rows, "id long, text string"))
+    for word, n in (("everywhere", 200), ("rare", 1), *((f"once{i}", 1) for i in range(0, 200, 20))):
+        (_, _, _, (words,)), = near_dedup._words_of([pa.RecordBatch.from_arrays([pa.array([0]), pa.array([word])], names=["id", "text"])])
+        assert order[near_dedup._counter(near_dedup.kmers(words, 1))[0]] == round(np.log2(n + 1) * 4)
+
+
 def test_shuffle_files_go_as_soon_as_a_step_is_written(spark):
     """Of steps that are written one after the other, only the last one's shuffle files are still held."""
     jsc = spark.sparkContext._jsc.sc()
