@@ -322,9 +322,9 @@ def components(edges: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b").distinct())
 
 
-def _among(rows: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of these ids (distinct, counted): picked by broadcast ids as long as LOCAL_IDS allows, before a join deals the rows out."""
-    return rows.join(F.broadcast(ids) if ids.count() <= LOCAL_IDS else ids, on, "left_semi")
+    return rows.join(F.broadcast(ids) if ids.count() <= LOCAL_IDS else ids, "id", "left_semi")
 
 
 def _sides(pairs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -419,10 +419,9 @@ def _across(batches, least: float):
 
 def _rest(texts: DataFrame, least: float) -> DataFrame:
     """Of (id, n, label, words, sign): all pairs (a, b) with different labels that may be similar by their first words, lengths and small bags."""
-    # most first words stand in one text: only those of several components are dealt out with what the comparison needs, to
-    # few tasks, since a text's rows of one task are written as little more than one
-    held = texts.select(F.explode("words").alias("key"), "label").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    rows = _among(texts.select(F.explode("words").alias("key"), "label", "id", "n", "sign"), cut(held.where("low <> high").select("key")), "key").repartition(max(12, parts(texts) // 4), "key").sortWithinPartitions("key", "label")
+    # every row is dealt out, a fifth of a text's words and one, so that their number doesn't depend on how many texts share a
+    # word; to few tasks, since a text's rows of one task are written as little more than one
+    rows = texts.select(F.explode("words").alias("key"), "label", "id", "n", "sign").repartition(max(12, parts(texts) // 4), "key").sortWithinPartitions("key", "label")
     return rows.mapInArrow(lambda batches: released(_across(batches, least)), "a long, b long, must int").select("a", "b").distinct()
 
 

@@ -489,6 +489,21 @@ def test_similar_texts_whose_buckets_have_other_hubs(spark):
     assert all(pairs_found(spark, pairs))
 
 
+def test_rows_of_the_exact_join_grow_with_its_texts(spark, monkeypatch):
+    """A text deals out its first words, no matter how many of them other texts hold too."""
+
+    def dealt(batches, least):
+        for batch in batches:
+            key, node = (batch.column(c).cast("int64") for c in ("key", "id"))
+            yield pa.RecordBatch.from_arrays([key, node, pa.nulls(len(key), pa.int32())], names=["a", "b", "must"])
+
+    monkeypatch.setattr(near_dedup, "_across", dealt)
+    rng = np.random.RandomState(5)
+    rows = [(i, 100, i, rng.choice(4_000, 21, replace=False).tolist(), bytearray(8)) for i in range(200)]
+    few, many = (near_dedup._rest(spark.createDataFrame(rows[:n], "id long, n int, label long, words array<int>, sign binary"), 0.8).count() for n in (40, 200))
+    assert (few, many) == (40 * 21, 200 * 21)
+
+
 def test_pairs_of_a_key_across_batches():
     rng = np.random.RandomState(3)
     rows = sorted((int(k), int(v), i, 10) for i, (k, v) in enumerate(zip(rng.randint(0, 9, 200), rng.randint(0, 4, 200))))
