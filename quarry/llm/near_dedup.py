@@ -46,7 +46,7 @@ LEVELS = ((16, 3, KMER), (48, 2, 3))
 SHORT = 48
 #: Words that the first words of two similar texts have in common at least.
 SHARED = 1
-#: Places of a text's small bag, and how many of its first words, the least by hash, its rows in the exact join carry beside.
+#: Places of a text's small bag, and how many of its first words, the most frequent, its rows in the exact join carry beside.
 PLACES, LEADERS = 512, 16
 #: Counters of words for their order.
 COUNTERS = 1 << 20
@@ -146,6 +146,12 @@ def first_words(words: np.ndarray, order: np.ndarray, least: float = SIMILARITY,
     return own[np.lexsort((own, order[_counter(own)]))[:n]].astype(np.uint32).view(np.int32)
 
 
+def leading(first: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of the first words the most frequent, as many as there are leaders: two texts that meet have these in common rather than
+    words that only few texts hold."""
+    return first[np.lexsort((first, -order[_counter(first.view(np.uint32).astype(np.uint64))].astype(np.int16)))[:LEADERS]]
+
+
 def bag(words: np.ndarray) -> bytes:
     """How many words fall into each of as many places as the largest power of two up to their number (255 at most in one)."""
     places = 1 << max(0, len(words).bit_length() - 1)
@@ -221,7 +227,8 @@ def _dressed(docs: DataFrame, order: np.ndarray, least: float) -> DataFrame:
     def run(batches):
         for ids, _, _, own in _words_of(batches):
             begin = [first_words(x, order, least) for x in own]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in own], pa.int32()), _lists(begin, pa.int32()), pa.array([signature(x, f) for x, f in zip(own, begin, strict=True)], pa.binary())], names=_DRESSED.names)
+            signs = [signature(x, leading(f, order)) for x, f in zip(own, begin, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in own], pa.int32()), _lists(begin, pa.int32()), pa.array(signs, pa.binary())], names=_DRESSED.names)
 
     return docs.mapInArrow(lambda batches: released(run(batches)), _DRESSED)
 

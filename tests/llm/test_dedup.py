@@ -475,6 +475,20 @@ def test_pairs_with_leaders_come_once():
     assert once and all(got.count(p) == 1 for p in once)
 
 
+def test_pairs_of_a_like_group_seldom_come_twice(spark):
+    """Texts that share frequent words next to rarer ones of chance meet under one key, and every pair that meets is kept."""
+    rng = random.Random(11)
+    texts = [(i, " ".join([f"c{j}" for j in range(170)] + [f"g{j}" for j in rng.sample(range(40), 15)] + [f"r{j}" for j in rng.sample(range(300), 30)])) for i in range(40)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    dressed = near_dedup._dressed(df, near_dedup.rarity(df), 0.8).collect()
+    rows = sorted((k, r["id"], r["id"], r["n"], bytes(r["sign"])) for r in dressed for k in r["words"])
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], names=["key", "label", "id", "n", "sign"])
+    got = [(a, b) for out in near_dedup._across([batch], 0.8) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    words = {r["id"]: set(r["words"]) for r in dressed}
+    near = {(a, b) for a in words for b in words if a < b and words[a] & words[b] and near_dedup.similar(texts[a][1], texts[b][1])}
+    assert near and near <= set(got) and len(got) < 1.3 * len(set(got))
+
+
 def test_similar_texts_whose_buckets_have_other_hubs(spark):
     """All texts quote one passage of 120 words, so hubs are dissimilar to most members; every copy is found even so."""
     rng = random.Random(9)
