@@ -60,3 +60,15 @@ def test_whole_tables_reach_the_operators(spark, tables):
         ("modal_density", "from documents"),
     ):
         assert catalog.QUERIES[name](spark, SF).count() == len(tables.sql(sql).fetchall()), name
+
+
+@pytest.mark.parametrize("name", ["fitted_vectors"])
+def test_rounding_keeps_the_sign_of_zero(spark, tmp_path, name):
+    rows = [(1, [-0.000001, 0.000001, -0.0, 0.0, 1.0] + [0.1] * 59), (2, [0.25, -0.75, -0.0000004] + [0.5] * 61)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    rel = con.sql(catalog.SQL[name])
+    want = [dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()]
+    key = lambda r: str(sorted(r.items()))  # tells -0.0 from 0.0
+    assert sorted(key(r.asDict()) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(map(key, want)) and "-0.0," in str(want)
