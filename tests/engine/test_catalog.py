@@ -62,7 +62,7 @@ def test_whole_tables_reach_the_operators(spark, tables):
         assert catalog.QUERIES[name](spark, SF).count() == len(tables.sql(sql).fetchall()), name
 
 
-@pytest.mark.parametrize("name", ["fitted_vectors", "matryoshka_truncate"])
+@pytest.mark.parametrize("name", ["fitted_vectors", "matryoshka_truncate", "reprojected_points"])
 def test_rounding_keeps_the_sign_of_zero(spark, tmp_path, name):
     rows = [(1, [-0.000001, 0.000001, -0.0, 0.0, 1.0] + [0.1] * 59), (2, [0.25, -0.75, -0.0000004] + [0.5] * 61)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
