@@ -72,3 +72,14 @@ def test_rounding_keeps_the_sign_of_zero(spark, tmp_path, name):
     want = [dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()]
     key = lambda r: str(sorted(r.items()))  # tells -0.0 from 0.0
     assert sorted(key(r.asDict()) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(map(key, want)) and "-0.0," in str(want)
+
+
+def test_sentences_keep_the_digits_of_their_place(spark, tmp_path):
+    rows = [(1, "Version 2.00. " + "1 word 1. " * 3 + "word " * 100 + "2. 3" + "y" * 30), (2, "0. 1. 2. 3"), (3, None)]
+    rows += [(10 + i, "x" * i + "0. " + "word " * 99 + "b. c") for i in range(16)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    rel = con.sql(catalog.SQL["text_pack"])
+    got = catalog.QUERIES["text_pack"](spark, str(tmp_path)).select(*rel.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(rel.fetchall())
