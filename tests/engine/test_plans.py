@@ -337,3 +337,12 @@ def test_evaluation_runs(spark, tmp_path, index):
     moved = evals.delta(held).orderBy("recorded_at").collect()
     assert moved[0]["recall_moved"] is None and moved[1]["recall_moved"] == round(record["recall_at_k"] - 0.5, 6)
     assert evals.table(held).splitlines()[2].startswith(f"| {record['recorded_at'][:19]} | plain | c0 | 3 |")
+
+
+def test_only_searches_for_words_build_the_index(spark, tmp_path):
+    rows = [(i, "r", f"src/a{i}.py", ["test", "design"][i % 2], f"alpha {chr(97 + i) * 2}", 1) for i in range(8)]
+    spark.createDataFrame(rows, "chunk_id long, root_label string, rel_path string, doc_type string, source_text string, start_line int").write.parquet(str(tmp_path / "chunks"))
+    own = service.Index(spark.read.parquet(str(tmp_path / "chunks")), folder=str(tmp_path / "held"))
+    assert own.file_context("a3.py").count() == 1 and {r["value"]: r["n"] for r in own.document_types().collect()}["test"] == 4
+    assert not (tmp_path / "held").exists()
+    assert own.search(spark.createDataFrame([(1, "ff")], "query_id long, text string"), mode="sparse").first()["chunk_id"] == 5 and list((tmp_path / "held").glob("index-*"))
