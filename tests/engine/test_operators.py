@@ -190,3 +190,23 @@ def test_stored_index_reads_terms_only(spark, tmp_path, monkeypatch):
     got = {(r[0], r[1]) for r in retrieval.quoted(index, passages, docs, query="q", passage="passage", row="doc_id", text="text").collect()}
     texts = [(r[0], r[1]) for r in docs.collect() if r[1] is not None]
     assert got == {(q, i) for q, p in ((1, "lpha beta beta  w"), (2, "w3"), (3, "no such words here"), (4, "")) for i, t in texts if p in t}
+
+
+def test_stored_index_scores_before_it_shuffles(spark, tmp_path):
+    texts = [(i, f"alpha {'beta ' * (i % 4)} w{i % 7}") for i in range(40)] + [(3, "alpha beta omega"), (3, None), (5, ""), (None, "alpha")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    index = retrieval.StoredIndex.of(docs, row="doc_id", text="text", folder=str(tmp_path / "index"))
+    one = {}
+    for i, x in texts:
+        one[i] = f"{one.get(i, '')} {x or ''}"
+    apart = spark.createDataFrame(list(one.items()), "doc_id long, text string")  # several texts of an id count as one
+    queries = spark.createDataFrame([(1, "beta w3"), (2, "omega"), (3, "alpha")], "q long, text string")
+    score = lambda own: sorted(map(str, retrieval.bm25(own, queries, query="q", text="text").collect()))
+    assert score(index) == score(retrieval.postings(apart, row="doc_id", text="text")) and index.n == 41
+    found = retrieval.bm25(index, queries, query="q", text="text").where("row >= 0")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.lower() and not any("Exchange hashpartitioning(query_id" in x and "row" in x for x in plan.split("\n"))
+    texts = spark.range(60_000).select(F.col("id").alias("row"), F.lit("x").alias("text"))
+    assert "BroadcastHashJoin" in retrieval.beside(found, texts, "row", 10)._jdf.queryExecution().executedPlan().toString()
