@@ -210,3 +210,21 @@ def test_stored_index_scores_before_it_shuffles(spark, tmp_path):
     assert "bucket" in plan.lower() and not any("Exchange hashpartitioning(query_id" in x and "row" in x for x in plan.split("\n"))
     texts = spark.range(60_000).select(F.col("id").alias("row"), F.lit("x").alias("text"))
     assert "BroadcastHashJoin" in retrieval.beside(found, texts, "row", 10)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_vectors_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MAX_BROADCAST_QUERIES", 7)
+    monkeypatch.setattr(retrieval, "TILE_ROWS", 16)
+    monkeypatch.setattr(retrieval, "TILE_QUERIES", 3)
+    rng = random.Random(3)
+    some = [[rng.uniform(-1, 1) for _ in range(4)] for _ in range(60)]
+    odd = [[0.0] * 4, [float("nan"), 1.0, 0.0, 0.0], None, [1.0, None, 0.0, 0.0], [1.0, 2.0], [2.0, 1.0], [], [float("inf"), 1.0, 1.0, 1.0], [-0.5, 0.5, 0.0, 0.0]]
+    vectors = spark.createDataFrame([(f"é{i}", v) for i, v in enumerate(some * 3 + [[round(x) / 2 for x in v] for v in some] + odd)], "id string, v array<double>")
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(some[:15] + odd)], "q long, w array<double>")
+    how = dict(row="id", vector="v", query="q", query_vector="w")
+    for k in (1, 5, 300):
+        found = retrieval.dense_top(vectors, queries, k, **how)
+        assert sorted(map(str, found.collect())) == sorted(map(str, retrieval.top(retrieval.dense(vectors, queries, **how), k).collect()))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoopJoin" not in plan and "Cartesian" not in plan
+    assert retrieval.dense_top(vectors, queries.limit(0), 3, **how).count() == 0
