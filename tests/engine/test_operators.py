@@ -228,3 +228,29 @@ def test_best_vectors_are_those_of_all_pairs(spark, monkeypatch):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoopJoin" not in plan and "Cartesian" not in plan
     assert retrieval.dense_top(vectors, queries.limit(0), 3, **how).count() == 0
+
+
+def test_pairs_are_dealt_out_whole_and_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TILE", 7)
+    monkeypatch.setattr(graph, "TASK_PAIRS", 50)
+    rng = random.Random(5)
+    left = [(rng.choice(["a", "a", "a", "b", "c", None]), i) for i in range(90)] + [("a", 1)] * 3
+    right = [(rng.choice(["a", "a", "b", "d", None]), i) for i in range(60)]
+    found = graph.pairs(spark.createDataFrame(left, "k string, x int"), spark.createDataFrame(right, "k string, y int"), ["k"])
+    want = sorted((k, x, y) for k, x in left for j, y in right if k == j and k)
+    assert sorted(map(tuple, found.collect())) == want and found.rdd.getNumPartitions() >= len(want) // 50
+    assert max(found.rdd.glom().map(len).collect()) < len(want) / 4
+
+
+def test_dependents_by_several_names_come_once(spark):
+    rng = random.Random(6)
+    files = [("r", f"u{i % 3}/f{i}.cs", rng.choice(["csharp", None])) for i in range(30)]
+    imports = [("r", f[1], rng.choice(["A", "B", "C", None]), rng.choice([None, None, files[rng.randrange(30)][1]])) for f in files for _ in range(3)]
+    symbols = [("r", f[1], rng.choice(["A", "B", "C", "D"])) for f in files for _ in range(2)]
+    frame = spark.createDataFrame
+    found = graph.dependents(frame(imports, "root_label string, rel_path string, module string, resolved_path string"), frame(files, "root_label string, rel_path string, language string"), frame(symbols, "root_label string, rel_path string, symbol string"))
+    speaks = {f[1]: f[2] for f in files}
+    want = {("r", p, "r", f, speaks[f]) for _, f, _, p in imports if p} | {("r", g, "r", f, speaks[f]) for _, f, m, _ in imports for _, g, s in symbols if m == s and f[:2] == g[:2]}
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan.split("\n")[0]  # no pass over all pairs above the join
